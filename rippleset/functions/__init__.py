@@ -1,0 +1 @@
+"""Column-to-column helpers: names, text patterns and scalar rules."""

@@ -1,0 +1,39 @@
+"""Session settings shared by tests, bench and jobs."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import SparkSession
+
+#: Settings a job needs whatever the cluster. Sizes (executors, memory, shuffle partitions) stay with the cluster.
+BASE_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
+def local_session(app: str = "rippleset", cpus: int | str = 8, shuffle_partitions: int | None = None,
+                  checkpoint_dir: str | None = None) -> SparkSession:
+    """A local session for tests and the bench; a cluster job brings its own session."""
+    builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
+    for key, value in BASE_CONF.items():
+        builder = builder.config(key, value)
+    builder = (
+        builder.config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", os.environ.get("RIPPLESET_DRIVER_MEMORY", "8g"))
+        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
+    )
+    if checkpoint_dir is not None:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    spark = builder.getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``, if it names one."""
+    return spark.conf.get("spark.checkpoint.dir", None)

@@ -1,0 +1 @@
+"""Readers for corpora, payloads and snapshots, and the table sinks."""
