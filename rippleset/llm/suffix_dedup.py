@@ -7,8 +7,8 @@ p + q, and each refined name is used again for the next one. Buckets of one suff
 Only sampled suffixes are sorted into buckets first: of every run of 400-byte strings, those starting at the smallest
 100-byte identifier (ties: all). The choice depends on the bytes alone, so equal 400-byte strings hold a sampled suffix at the same
 offset. Buckets with two suffixes or more are refined by the identifiers around them (all 400-byte strings through the sample
-at once); where that leaves a suffix alone in its bucket, as at the ends of a copied passage, every start is named
-by its own 400-byte identifier.
+at once). Where that leaves a suffix alone in its refined bucket, as at the ends of a copied passage, the same is done for runs of starts, and for what
+these leave open every start is named by its own 400-byte identifier.
 
 Cases: a null text is an empty text. Texts under ``length`` bytes lose nothing. Repeated rows are copies of each other. A null
 id is a value like any other. Very long texts are sampled block by block; the refinement of a start reads only its surroundings.
@@ -23,11 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from xxhash import xxh3_64_intdigest
+
 from rippleset.llm.common import slices, table, written
 
 #: Bytes of a text that are sampled at once.
 BLOCK = 1 << 21
+#: Starts that are refined together, and texts up to which what was found for them is broadcast.
+RUN, FEW = 38, 300_000
 _KEY = ["_id", "_text_key"]
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_ALL = (1 << 64) - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,14 +99,30 @@ def _samples(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _beside(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Texts with what was found for them; a null id meets a null id."""
-    found = found.withColumnsRenamed({name: f"_of{name}" for name in _KEY})
+def _beside(docs: DataFrame, found: DataFrame, how: str, few: int) -> DataFrame:
+    """Texts with what was found for them; a null id meets a null id.
+
+    What was found is written first; up to ``few`` rows of it are broadcast, so that the texts stay where they are, more are shuffled.
+    """
+    found = written(found.withColumnsRenamed({name: f"_of{name}" for name in _KEY}), "suffix-found")
+    found = F.broadcast(found) if found.count() <= few else found
     return docs.join(found, F.col("_id").eqNullSafe(F.col("_of_id")) & (F.col("_text_key") == F.col("_of_text_key")), how)
 
 
-def repeated_spans(df: DataFrame, length: int = 400, gram: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id``, ``_text_key`` and ``spans array<struct<start,end>>`` (bytes, unmerged) of texts that hold repeated strings."""
+def _refined(rows: DataFrame, by: list[str], place: list[str]) -> DataFrame:
+    """Refined buckets inside shared buckets: members ``n``, ``one`` of them, and how many of the bucket are ``alone`` in theirs."""
+    groups = rows.groupBy(*by, "refined").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_KEY, *place)).alias("one"))
+    buckets = groups.groupBy(*by).agg(F.sum("n").alias("total"), F.sum((F.col("n") == 1).cast("long")).alias("alone")).where("total > 1")
+    return written(groups.join(buckets, by), "suffix-buckets")
+
+
+def _left(groups: DataFrame) -> DataFrame:
+    """Members alone in their refined bucket but not in the bucket, and one member of each refined bucket beside such."""
+    return groups.where("n = 1 or alone > 0").select("one.*")
+
+
+def repeated_spans(df: DataFrame, length: int = 400, gram: int = 100, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
+    """``_id``, ``_text_key`` and ``spans array<struct<start,end>>`` (bytes, merged) of texts that hold repeated strings."""
     if not gram <= length < 1 << 19:
         raise ValueError("gram must not exceed length")
     docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
@@ -123,61 +145,97 @@ def repeated_spans(df: DataFrame, length: int = 400, gram: int = 100, id_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(starts.astype(np.int64)), pa.array(np.concatenate(sizes)), pa.array(names.view(np.int64)), pa.array(refined.view(np.int64))], [*_KEY, "at", "size", "bucket", "refined"])
 
     samples = written(docs.mapInArrow(sample, f"{key_type}, at bigint, size bigint, bucket bigint, refined bigint"), "suffix-samples")
-    one = F.struct(*_KEY, "at")
-    groups = samples.groupBy("bucket", "refined").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one"))
-    buckets = groups.groupBy("bucket").agg(F.sum("n").alias("total"), F.sum((F.col("n") == 1).cast("long")).alias("alone")).where("total > 1")
-    groups = written(groups.join(buckets, "bucket"), "suffix-buckets")
+    groups = _refined(samples, ["bucket"], ["at"])
 
     # Refined buckets of two and more: all strings through these samples are repeated.
     whole = samples.join(groups.where("n > 1").select("bucket", "refined"), ["bucket", "refined"])
     whole = whole.select(*_KEY, F.greatest(F.col("at") - (length - gram), F.lit(0)).alias("start"), F.least(F.col("at") + length, F.col("size")).alias("end"))
 
-    # The others of a shared bucket, and one member of each refined bucket beside them, are named start by start.
-    rest = groups.where("n = 1 or alone > 0").select("one.*").groupBy(*_KEY).agg(F.collect_set("at").alias("ats"))
-    near = _beside(docs, rest, "inner").select(*_KEY, "_text", "ats")
+    # The others of a shared bucket, and one member of each refined bucket beside them, are refined in runs of starts: by the
+    # bytes common to a run's strings, and by all bytes of the run.
+    rest = _left(groups).groupBy(*_KEY).agg(F.collect_set("at").alias("ats"))
+    near = written(_beside(docs, rest, "inner", few).select(*_KEY, "_text", "ats"), "suffix-texts")
+
+    def name_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            rows, made = [], []
+            for row in range(batch.num_rows):
+                text = batch.column(2)[row].as_py().encode()
+                for at in batch.column(3)[row].as_py():
+                    bucket = xxh3_64_intdigest(text[at : at + gram])
+                    for k in range(0, length - gram + 1, RUN):
+                        first, last = at - min(k + RUN - 1, length - gram), at - k
+                        low, high = max(first, 0), min(last, len(text) - length)
+                        if low <= high:
+                            core = xxh3_64_intdigest(text[last : first + length], seed=(bucket + k) & _ALL)
+                            rows.append(row)
+                            made.append((low, high, core, xxh3_64_intdigest(text[low : high + length], seed=(core + (at - low) * RUN + high - low) & _ALL)))
+            if rows:
+                take = pa.array(rows, pa.int32())
+                low, high, core, refined = zip(*made, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(np.array(core, np.uint64).view(np.int64)), pa.array(np.array(refined, np.uint64).view(np.int64))], [*_KEY, "low", "high", "core", "refined"])
+
+    runs = written(near.mapInArrow(name_runs, f"{key_type}, low bigint, high bigint, core bigint, refined bigint"), "suffix-runs")
+    run_groups = _refined(runs, ["core"], ["low", "high"])
+    whole_runs = runs.join(run_groups.where("n > 1").select("core", "refined"), ["core", "refined"]).select(*_KEY, F.col("low").alias("start"), (F.col("high") + length).alias("end"))
+
+    # What a run leaves open is named start by start.
+    open_runs = _left(run_groups).groupBy(*_KEY).agg(F.collect_set(F.struct("low", "high")).alias("runs"))
 
     def name_starts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
+            rows, starts, found = [], [], []
             for row in range(batch.num_rows):
-                text = np.frombuffer(batch.column(2)[row].as_py().encode(), np.uint8)
-                low = high = 0
-                for at in sorted(batch.column(3)[row].as_py()):
-                    low = max(high, at - (length - gram), 0)  # starts that an earlier sample has covered are not named twice
-                    high = min(at, len(text) - length) + 1
-                    if low < high:
-                        names = bucket_names(text[low : high - 1 + length], length)
-                        keys = [pa.array([c[row].as_py()] * len(names), c.type) for c in batch.columns[:2]]
-                        yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(low, high, dtype=np.int64)), pa.array(names.view(np.int64))], [*_KEY, "start", "name"])
-
-    starts = written(near.mapInArrow(name_starts, f"{key_type}, start bigint, name bigint"), "suffix-starts")
+                text, high = np.frombuffer(batch.column(2)[row].as_py().encode(), np.uint8), -1
+                for run in sorted((r["low"], r["high"]) for r in batch.column(3)[row].as_py()):
+                    low, high = max(high + 1, run[0]), max(high, run[1])  # no start is named twice
+                    if low <= high:
+                        found.append(bucket_names(text[low : high + length], length))
+                        starts.append(np.arange(low, high + 1))
+                        rows.append(np.full(high + 1 - low, row, np.int32))
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(starts).astype(np.int64)), pa.array(np.concatenate(found).view(np.int64))], [*_KEY, "start", "name"])
+
+    starts = _beside(near.select(*_KEY, "_text"), open_runs, "inner", few).select(*_KEY, "_text", "runs").mapInArrow(name_starts, f"{key_type}, start bigint, name bigint")
+    starts = written(starts, "suffix-starts")
     shared = starts.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
     single = starts.join(shared, "name").select(*_KEY, "start", (F.col("start") + length).alias("end"))
-    return whole.unionByName(single).groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    every = whole.unionByName(whole_runs).unionByName(single).groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for spans in batch.column(2).to_pylist():
+                merged: list[list[int]] = []
+                for start, end in sorted((s["start"], s["end"]) for s in spans):
+                    if merged and start <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], end)
+                    else:
+                        merged.append([start, end])
+                out.append([{"start": a, "end": b} for a, b in merged])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, _SPANS)], [*_KEY, "spans"])
+
+    return every.mapInArrow(merge, f"{key_type}, spans array<struct<start: bigint, end: bigint>>")
 
-def remove_repeats(df: DataFrame, length: int = 400, gram: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def remove_repeats(df: DataFrame, length: int = 400, gram: int = 100, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
     """``id_col``, ``n_bytes``, ``spans`` (maximal removed runs, in bytes) and ``kept`` (the other bytes) of every row."""
-    spans = repeated_spans(df, length, gram, id_col, text_col)
+    spans = repeated_spans(df, length, gram, id_col, text_col, few)
     docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("_text_key", F.xxhash64("_text"))
-    joined = _beside(docs, spans, "left").select("_id", "_text", "spans")
+    joined = _beside(docs, spans, "left", few).select("_id", "_text", "spans")
     id_type = docs.schema["_id"].dataType.simpleString()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sizes, runs, kept = [], [], []
             for text, found in zip(batch.column(1), batch.column(2), strict=True):
-                text, merged = text.as_py().encode(), []
-                for span in sorted((s["start"], s["end"]) for s in found.as_py() or []):
-                    if merged and span[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], span[1])
-                    else:
-                        merged.append(list(span))
+                text, merged = text.as_py().encode(), [(s["start"], s["end"]) for s in found.as_py() or []]
                 edges = [0, *(x for run in merged for x in run), len(text)]
                 sizes.append(len(text))
                 runs.append([{"start": a, "end": b} for a, b in merged])
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], ["_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, _SPANS), pa.array(kept, pa.binary())], ["_id", "n_bytes", "spans", "kept"])
 
     out = joined.mapInArrow(cut, f"_id {id_type}, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
     return out.withColumnRenamed("_id", id_col)
