@@ -44,15 +44,18 @@ QUERY_TABLE = r"(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+(\w+)"
 def classify(changes: DataFrame, statement: str = "statement") -> DataFrame:
     """``changes`` with ``change_type`` (null: not a change), ``table_name``, ``column_name``, ``new_value``, in capitals."""
     text = F.upper(F.trim(F.col(statement)))
-    kind = table = column = value = None
+    kind = None
+    for name, pattern in CLASSES:
+        kind = F.when(text.rlike(pattern), name) if kind is None else kind.when(text.rlike(pattern), name)
+    typed = changes.withColumn("change_type", kind)  # found once; the parts below try one pattern a row
+    table = column = value = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, pattern in CLASSES:
-        test = text.rlike(pattern)
         at, col, val = PLACES[name]
-        group = lambda k, p=pattern: F.nullif(F.regexp_extract(text, p, k), F.lit("")) if k else F.lit(None).cast("string")
-        of = group(at) if at else F.nullif(F.regexp_extract(text, ALTERED, 1), F.lit(""))
-        parts = (F.lit(name), F.coalesce(of, F.lit("UNKNOWN")), group(col), F.trim(group(val)))
-        kind, table, column, value = (F.when(test, x) if old is None else old.when(test, x) for old, x in zip((kind, table, column, value), parts, strict=True))
-    return changes.select("*", kind.alias("change_type"), table.alias("table_name"), column.alias("column_name"), value.alias("new_value"))
+        is_it, group = F.col("change_type") == name, lambda k, p=pattern: F.nullif(F.regexp_extract(text, p, k), F.lit(""))
+        table = table.when(is_it, F.coalesce(group(at) if at else F.nullif(F.regexp_extract(text, ALTERED, 1), F.lit("")), F.lit("UNKNOWN")))
+        column = column.when(is_it, group(col)) if col else column
+        value = value.when(is_it, F.trim(group(val))) if val else value
+    return typed.select("*", table.alias("table_name"), column.alias("column_name"), value.alias("new_value"))
 
 
 def database_type(name: Column) -> Column:
