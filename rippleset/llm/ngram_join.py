@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from rippleset.llm.common import slices, table, written
 
-#: Documents that make a shingle frequent, and the most frequent shingles that are known to all tasks (12 bytes each).
-FREQUENT, MAX_FREQUENT = 24, 1 << 20
+#: Different texts that make a shingle frequent, and the most frequent shingles that are known to all tasks (16 bytes each).
+FREQUENT, MAX_FREQUENT = 2, 1 << 21
+#: Ids up to which a list of documents is broadcast to the texts instead of shuffling these.
+FEW = 300_000
 #: Counted are the tokens that can come into a prefix: this share of a set, smallest hashes first.
 COUNTED = 0.4
 CACHE = 500_000
@@ -176,15 +178,28 @@ def shared_prefixes(docs: DataFrame, orders, size: int, percent: int) -> DataFra
     return written(sorted_rows.mapInArrow(lead, "kind tinyint, token bigint, id bigint, n int, leader bigint"), "shared-prefixes")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, orders, size: int, percent: int, n_orders: int) -> DataFrame:
-    """``a``, ``b``, ``distance`` of pairs that pass the other orders' prefix filters (distance 1 if they don't)."""
+def _listed(docs: DataFrame, ids: DataFrame, how: str, few: int) -> DataFrame:
+    """Documents that are, or are not, in a list of ids (``_need``); up to ``few`` ids are broadcast, more are shuffled."""
+    ids = written(ids, "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= few else ids, docs["id"] == ids["_need"], how)
+
+
+def verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, orders, size: int, percent: int, n_orders: int, few: int = FEW) -> DataFrame:
+    """``a``, ``b``, ``distance``, ``linked`` of candidate pairs.
+
+    Pairs whose set sizes rule out a link are not fetched; their distance is the least that the sizes allow.
+    """
+    sized = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    sized = written(sized.withColumn("fits", 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")), "candidates")
+    unfit = sized.where("not fits").select("a", "b", (1 - F.least("na", "nb") / F.greatest("na", "nb")).alias("distance"), F.lit(False).alias("linked"))
+    pairs = sized.where("fits").select("a", "b")
     ids = pairs.select(F.col("a").alias("_need")).union(pairs.select("b")).distinct()
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "tokens"])
 
-    needed = written(docs.join(ids, docs["id"] == ids["_need"]).select("id", "_text").mapInArrow(sets, "id bigint, tokens binary"), "sets")
+    needed = written(_listed(docs, ids, "left_semi", few).select("id", "_text").mapInArrow(sets, "id bigint, tokens binary"), "sets")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = orders.value
@@ -193,7 +208,7 @@ def verified(docs: DataFrame, pairs: DataFrame, orders, size: int, percent: int,
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
                 lengths = prefix_length(len(x), percent), prefix_length(len(y), percent)
-                possible = 100 * min(len(x), len(y)) >= percent * max(len(x), len(y))
+                possible = True
                 for order in range(1, n_orders):
                     possible = possible and bool(np.intersect1d(known.prefix(x, lengths[0], order), known.prefix(y, lengths[1], order), assume_unique=True).size)
                 # Pairs that fail a filter can't link; their distance still serves the triangle inequality.
@@ -203,7 +218,7 @@ def verified(docs: DataFrame, pairs: DataFrame, orders, size: int, percent: int,
 
     second = pairs.join(needed.select(F.col("id").alias("b"), F.col("tokens").alias("of_b")), "b")
     rows = second.join(needed.select(F.col("id").alias("a"), F.col("tokens").alias("of_a")), "a").select("a", "b", "of_a", "of_b")
-    return written(rows.mapInArrow(compare, "a bigint, b bigint, distance double, linked boolean"), "verified")
+    return written(rows.mapInArrow(compare, "a bigint, b bigint, distance double, linked boolean").unionByName(unfit), "verified")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,13 +238,21 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int = 3, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, most: int = MAX_FREQUENT) -> DataFrame:
+def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int = 3, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, most: int = MAX_FREQUENT, few: int = FEW) -> DataFrame:
     """``id_col`` (long), ``n_shingles``, ``component_id`` and ``n_links`` (verified links of its set) of every row."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("_text"))
+
+    # Equal texts are one document from here on, the one of the smallest id.
+    keyed = docs.select("id", F.md5(F.coalesce("_text", F.lit(""))).alias("_key"))
+    firsts = keyed.groupBy("_key").agg(F.min("id").alias("first"), F.max("id").alias("_last")).where("first <> _last").select("_key", "first")
+    again = written(keyed.join(firsts, "_key").where("id <> first").select("id", "first"), "equal-texts")
+    docs = _listed(docs, again.select(F.col("id").alias("_need")).distinct(), "left_anti", few)
+
     orders = spark.sparkContext.broadcast(frequent_shingles(docs, size, frequent, most))  # bounded by ``most``
     shared = shared_prefixes(docs, orders, size, percent)
     copies = shared.where("kind = 1").select("id", F.col("leader").alias("set_id"))
+    sizes = shared.where("kind = 1").groupBy("id").agg(F.max("n").alias("n"))
     moved = copies.where("id <> set_id").distinct()
 
     # Lists of the sets' first documents: copies stand aside.
@@ -237,7 +260,7 @@ def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int
     lists = lists.join(moved.select(F.col("id").alias("leader"), F.col("set_id").alias("lead_set")), "leader", "left").select("token", "id", F.coalesce("lead_set", "leader").alias("leader")).distinct()
     lists = written(lists, "lists")
     stars = lists.where("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"), "leader").distinct()
-    first = verified(docs, stars.select("a", "b").distinct(), orders, size, percent, n_orders)
+    first = verified(docs, sizes, stars.select("a", "b").distinct(), orders, size, percent, n_orders, few)
     links = first.where("linked").select("a", "b")
     classes = components(links)
 
@@ -253,7 +276,7 @@ def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int
     other = centres.select("token", F.col("hub").alias("hub2"), F.col("class").alias("class2"))
     between = centres.join(other, "token").where("hub < hub2 and class <> class2").select(F.col("hub").alias("a"), F.col("hub2").alias("b")).distinct()
     fresh = written(between.join(first.select("a", "b"), ["a", "b"], "left_anti"), "hub-pairs")
-    second = verified(docs, fresh, orders, size, percent, n_orders)
+    second = verified(docs, sizes, fresh, orders, size, percent, n_orders, few)
     links = links.union(second.where("linked").select("a", "b"))
 
     # Between members of two stars, where a link is possible.
@@ -269,12 +292,13 @@ def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int
     members = left.join(right, ["token", "b"]).where((F.col("class_x") != F.col("class_y")) & (F.col("distance") - F.col("away_x") - F.col("away_y") <= least))
     members = members.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     members = written(members.join(known.select("a", "b"), ["a", "b"], "left_anti"), "member-pairs")
-    third = verified(docs, members, orders, size, percent, n_orders)
+    third = verified(docs, sizes, members, orders, size, percent, n_orders, few)
     links = links.union(third.where("linked").select("a", "b"))
 
     classes = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_links"))
     every = shared.where("kind > 0").select("id", "n", F.col("leader").alias("set_id"))
+    every = every.union(again.join(every.withColumnRenamed("id", "first").dropDuplicates(["first"]), "first").select("id", "n", F.when(F.col("n") > 0, F.col("set_id")).otherwise(F.col("id"))))
     out = every.join(classes.withColumnRenamed("id", "set_id"), "set_id", "left").join(degree, "set_id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("class", "set_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
