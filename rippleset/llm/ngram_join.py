@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 from rippleset.llm.common import slices, table, written
 
-#: Different texts that make a shingle frequent, and the most frequent shingles that are known to all tasks (16 bytes each).
+#: Different texts that make a shingle frequent, and the most frequent shingles that are known to all tasks (12 bytes each).
 FREQUENT, MAX_FREQUENT = 2, 1 << 21
 #: Ids up to which a list of documents is broadcast to the texts instead of shuffling these.
 FEW = 300_000
 #: Counted are the tokens that can come into a prefix: this share of a set, smallest hashes first.
 COUNTED = 0.4
-CACHE = 500_000
+CACHE = 150_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -71,7 +71,7 @@ class Orders:
 
     def __init__(self, frequent: np.ndarray, counts: np.ndarray):
         by = np.argsort(frequent)
-        self.frequent, self.counts = frequent[by], counts[by]
+        self.frequent, self.counts = frequent[by], counts[by].astype(np.int32)  # 12 bytes each
 
     def prefix(self, tokens: np.ndarray, length: int, order: int) -> np.ndarray:
         """The first ``length`` tokens of a set under one of the orders."""
@@ -106,7 +106,7 @@ def frequent_shingles(docs: DataFrame, size: int, frequent: int = FREQUENT, most
                 tokens = shingles(text, size)
                 held.append(tokens[: math.ceil(COUNTED * len(tokens)) + 1])
                 volume += len(held[-1])
-            if volume > 1 << 21:
+            if volume > 1 << 20:
                 yield summed()
                 held, volume = [], 0
         if volume:

@@ -29,7 +29,7 @@ from rippleset.llm.common import slices, table
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 BUCKETS = 1 << 18
 #: Words a worker remembers with their weights.
-CACHE = 500_000
+CACHE = 150_000
 #: Production bounds of the training sample, and which features get a weight: the rarest (texts of the sample), and the least
 #: standard score by which the shares of toxic and of unlabelled texts that hold it differ.
 MAX_POSITIVE, MAX_UNLABELLED, MIN_TEXTS, MIN_SCORE = 4000, 16000, 10, 4.0
