@@ -145,95 +145,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     return train([r for r, is_toxic in zip(rows, marks, strict=True) if is_toxic], [r for r, is_toxic in zip(rows, marks, strict=True) if not is_toxic], kept, prior)
 
 
-def score(self, value: float) -> float:
-        """Chance of the label, for a sum of weights."""
-        return float(1 / (1 + np.exp(-np.clip(value + self.base, -50, 50))))
-
-
-def words(text: str | None) -> set[bytes]:
-    """Distinct words of a text, A-Z lower-cased."""
-    return set(WORD.findall((text or "").encode().lower()))
-
-
-def features(word: bytes) -> list[int]:
-    """Buckets of a word and its beginnings."""
-    return [zlib.crc32(word) % BUCKETS, *(zlib.crc32(b"^" + word[:n]) % BUCKETS for n in BEGINNINGS if len(word) > n)]
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
-
-
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], kept: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 2e-5) -> PUModel:
-    """Minimises the non-negative risk (logistic loss) over texts given as arrays of places in ``kept`` buckets, repeats counting."""
-    if not positive or not 0 < prior < 1:
-        return PUModel(np.zeros(BUCKETS, np.float32), -50.0 if prior <= 0 or not positive else 0.0)
-    texts = positive + unlabelled
-    sizes = np.array([len(t) for t in texts])
-    flat = np.concatenate(texts).astype(np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    n_pos, n = len(positive), len(texts)
-    n_unl = max(1, n - n_pos)
-    theta, m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
-    theta[-1] = np.log(prior / (1 - prior))
-    for step in range(1, steps + 1):
-        value = np.bincount(owner, theta[flat], minlength=n) + theta[-1]
-        p, loss_as_negative = _sigmoid(value), np.logaddexp(0, value)
-        negative = loss_as_negative[n_pos:].mean() - prior * loss_as_negative[:n_pos].mean() if n > n_pos else 0.0
-        slope = np.zeros(n)
-        if negative >= 0:
-            slope[:n_pos] = prior * (p[:n_pos] - 1) / n_pos - prior * p[:n_pos] / n_pos
-            slope[n_pos:] = p[n_pos:] / n_unl
-        else:  # the corrected risk fell under zero: step back on that term alone
-            slope[:n_pos] = prior * p[:n_pos] / n_pos
-            slope[n_pos:] = -p[n_pos:] / n_unl
-        gradient = np.append(np.bincount(flat, slope[owner], minlength=len(kept)), slope.sum())
-        gradient[:-1] += decay * theta[:-1]
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[kept] = theta[:-1]
-    return PUModel(weights, float(theta[-1]))
-
-
-def _telling(found: DataFrame, min_texts: int, min_score: float) -> np.ndarray:
-    """Buckets that enough texts of the sample hold, and that toxic and unlabelled texts hold to different shares."""
-    rows = {r["positive"]: r["n"] for r in found.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_pos, n_unl = max(1, rows.get(True, 0)), max(1, rows.get(False, 0))
-    held = found.select("positive", F.explode(F.array_distinct("buckets")).alias("bucket")).groupBy("bucket").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    rate, share = F.col("n") / (n_pos + n_unl), F.abs(F.col("p") / n_pos - (F.col("n") - F.col("p")) / n_unl)
-    kept = held.where((F.col("n") >= min_texts) & (share >= min_score * (F.sqrt(rate * (1 - rate) * (1 / n_pos + 1 / n_unl)) + 1e-9)))
-    return np.sort(kept.select("bucket").toArrow().column("bucket").to_numpy().astype(np.int64))  # BUCKETS at most
-
-
-def _buckets(df: DataFrame) -> DataFrame:
-    """``positive`` and the word buckets of every text."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [[i for w in words(t) for i in features(w)] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["positive", "buckets"])
-
-    return df.select("positive", "_text").mapInArrow(run, "positive boolean, buckets array<int>")
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, min_texts: int = MIN_TEXTS, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> PUModel:
-    """Trains on the rows given; leave rows out of both tables to hold them out."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).where("_label is not null and _id is not null").groupBy("_id").agg(F.max("_label").alias("_label"))
-    counts = known.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("_label") > 0).cast("long")).alias("toxic")).first()
-    prior = (counts["toxic"] or 0) / counts["n"] if counts["n"] else 0.0
-    draw = F.xxhash64(F.col("_id").cast("string"))
-    toxic = known.where("_label > 0").select("_id")
-    positive = toxic.orderBy(draw, "_id").limit(max_positive).withColumn("positive", F.lit(True))
-    others = docs.select(F.col(id_col).alias("_id")).where("_id is not null").join(toxic, "_id", "left_anti")
-    unlabelled = others.orderBy(draw, "_id").limit(max_unlabelled).withColumn("positive", F.lit(False))
-    drawn = positive.unionByName(unlabelled)  # at most max_positive + max_unlabelled ids, so it is broadcast
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(drawn), "_id")
-    got = _buckets(texts).toArrow()
-    marks, found = got.column("positive").to_pylist(), [np.asarray(x.values) for x in (got.column("buckets")[i] for i in range(got.num_rows))]
-    return train([f for f, is_toxic in zip(found, marks, strict=True) if is_toxic], [f for f, is_toxic in zip(found, marks, strict=True) if not is_toxic], prior, min_texts=min_texts)
-
-
 def score(df: DataFrame, model: PUModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """``df`` with the score of every whole text; no shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights
