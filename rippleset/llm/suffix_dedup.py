@@ -81,7 +81,7 @@ def sampled(data: np.ndarray, length: int, gram: int, at: int, total: int) -> tu
     high = np.minimum(starts + at + length, total) - at
     refined = (starts - low).astype(np.uint64) * np.uint64(1 << 20) + (high - starts).astype(np.uint64)
     for k in range(0, 2 * length - gram, gram):  # identifiers at all offsets around the sample, clipped to the text
-        offset = np.clip(low + k, 0, high - gram)
+        offset = np.clip(np.clip(low + k, 0, high - gram), 0, len(names) - 1)  # samples in a block's margins belong to other blocks
         refined = _mix(refined * np.uint64(0xD6E8FEB86659FD93) + names[offset])
     return starts, names[starts], refined
 
