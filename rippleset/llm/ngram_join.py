@@ -16,6 +16,7 @@ without verification. Rows of one id are one document; rows with a null id link
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,7 +33,11 @@ FREQUENT, MAX_FREQUENT = 2, 1 << 21
 FEW = 300_000
 #: Counted are the tokens that can come into a prefix: this share of a set, smallest hashes first.
 COUNTED = 0.4
-CACHE = 150_000
+#: Bytes of text that are hashed at once.
+BLOCK = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -41,23 +46,36 @@ def _mix(x: np.ndarray, by: np.uint64 = _M1) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def _hashed(raw: bytes) -> np.ndarray:
+    """Hashes of the words of one block: sums of mixed (place in the word, lower-case byte) values."""
+    chars = np.frombuffer(raw, np.uint8)
+    inside = ~_SPACE[chars]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    if not len(edges):
+        return np.empty(0, np.uint64)
+    lengths = edges[1::2] - edges[::2]
+    first = np.cumsum(lengths) - lengths
+    chars = _LOWER[chars[inside]]
+    place = (np.arange(len(chars)) - np.repeat(first, lengths)).astype(np.uint64)
+    return np.add.reduceat(_mix(_mix((place << np.uint64(8)) + chars + np.uint64(1)), _M2), first)
 
 
-_HASHES = _WordHashes()
+def word_hashes(raw: bytes) -> np.ndarray:
+    """Hashes of a text's words, in order; long texts go by blocks that end at white space."""
+    at, parts = 0, [np.empty(0, np.uint64)]
+    while at < len(raw):
+        gap = _GAP.search(raw, at + BLOCK)
+        end = gap.end() if gap else len(raw)
+        parts.append(_hashed(raw[at:end]))
+        at = end
+    return np.concatenate(parts)
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Hashes of a text's distinct shingles, ascending."""
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+    w = word_hashes((text or "").encode())
+    if not len(w):
+        return w
     width = min(size, len(w))
     out = w[: len(w) - width + 1] + np.uint64(width)
     for k in range(1, width):
@@ -75,16 +93,25 @@ class Orders:
 
     def prefix(self, tokens: np.ndarray, length: int, order: int) -> np.ndarray:
         """The first ``length`` tokens of a set under one of the orders."""
+        if order == 0:  # tokens ascend by this order's hash, so the prefix often lies within the first few
+            head = tokens[: length + length // 4 + 8]
+            rare = head[self.count(head) == 0]
+            if len(rare) >= length:
+                return rare[:length]
+        count = self.count(tokens)
         key = tokens if order == 0 else _mix(tokens, np.uint64((2 * order + 1) * int(_M2) & 0xFFFFFFFFFFFFFFFF))
-        if len(self.frequent):
-            at = np.minimum(np.searchsorted(self.frequent, tokens), len(self.frequent) - 1)
-            count = np.where(self.frequent[at] == tokens, self.counts[at], 0)
-        else:
-            count = np.zeros(len(tokens), np.int64)
-        if order == 0 and not count[: length].any() and length <= len(tokens) and not count.any():
-            return tokens[:length]
+        rare = np.flatnonzero(count == 0)
+        if len(rare) > length:
+            return tokens[rare[np.argpartition(key[rare], length)[:length]]]
         return tokens[np.lexsort((key, count))[:length]]
 
+    def count(self, tokens: np.ndarray) -> np.ndarray:
+        """Counts of the frequent ones among tokens, 0 of the others."""
+        if not len(self.frequent):
+            return np.zeros(len(tokens), np.int32)
+        at = np.minimum(np.searchsorted(self.frequent, tokens), len(self.frequent) - 1)
+        return np.where(self.frequent[at] == tokens, self.counts[at], 0)
+
 
 def prefix_length(n: int, percent: int) -> int:
     """Tokens of which a partner at ``percent`` or more must share one."""

@@ -214,3 +214,16 @@ def test_toxicity_held_out(spark):
     toxic = [r["predicted"] for r in out if r["toxic"]]
     clean = [r["predicted"] for r in out if not r["toxic"]]
     assert sum(toxic) >= 0.75 * len(toxic) and sum(clean) <= 0.1 * len(clean)
+
+
+def test_word_hashes(monkeypatch):
+    """Words split at ASCII white space only and letters A-Z in either case are alike, whatever the blocks."""
+    from rippleset.llm import ngram_join as nj
+
+    text = "Ab ab\x0bAB\x1cb Äb c  ba a b \t\r\n " + "x" * 50
+    words = text.encode().lower().split()
+    whole = nj.word_hashes(text.encode())
+    assert len(whole) == len(words) and len(set(whole.tolist())) == len(set(words))
+    assert whole[0] == whole[1] and not len(nj.word_hashes(b" \t ")) and not len(nj.word_hashes(b""))
+    monkeypatch.setattr(nj, "BLOCK", 5)
+    assert (nj.word_hashes(text.encode()) == whole).all()
