@@ -31,3 +31,16 @@ def node_risk(found: DataFrame, direction: str) -> DataFrame:
     """Risk of reached nodes by distance: a nearest dependent is at high risk, a nearest dependency at medium."""
     first = "high" if direction == "reverse" else "medium"
     return found.withColumn("risk", F.when(F.col("distance") == 1, first).when(F.col("distance") == 2, "medium").otherwise("low"))
+
+
+def upsert_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges once each by (src, rel_type, dst), without those that lack an end among ``nodes``."""
+    known = nodes.select("node").distinct()
+    every = edges.select("src", "rel_type", "dst").unionByName(new.select("src", "rel_type", "dst")).distinct()
+    return every.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "rel_type", "dst")
+
+
+def table_neighbours(foreign_keys: DataFrame) -> DataFrame:
+    """Tables one reference away from each table, out and in."""
+    ends = F.array(F.struct(F.col("source_table").alias("table_name"), F.col("target_table").alias("neighbour"), F.lit("out").alias("direction")), F.struct(F.col("target_table").alias("table_name"), F.col("source_table").alias("neighbour"), F.lit("in").alias("direction")))
+    return foreign_keys.select(F.inline(ends)).distinct()

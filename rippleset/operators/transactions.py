@@ -170,3 +170,11 @@ def latest_per_customer(txns: DataFrame, n: int = 100) -> DataFrame:
 def access_log_stats(log: DataFrame) -> DataFrame:
     """Requests and mean duration of each kind, and its share of failures."""
     return log.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("amount").cast("double")), 4).alias("mean_ms"), F.sum((F.col("event_type") == "error").cast("long")).alias("failures"))
+
+
+def reversals(requests: DataFrame, payments: DataFrame) -> DataFrame:
+    """Refund (amount and fee) of each asked reversal; an unknown payment fails."""
+    paid = payments.join(fees(payments).select("payment_id", "fee"), "payment_id").select("payment_id", "amount", "fee")
+    found = requests.join(paid, "payment_id", "left")
+    known = F.col("amount").isNotNull()
+    return found.select("request_id", "payment_id", F.when(known, F.col("amount") + F.col("fee")).cast("decimal(18,2)").alias("refund"), F.when(known, "REVERSED").otherwise("FAILED").alias("status"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippleset.config import CustomerRiskConfig, DIRECT_TYPES, FraudConfig, ScoringConfig
-from rippleset.operators import graph, schema_change as sc, transactions as tx
+from rippleset.operators import code_change as cc, graph, schema_change as sc, transactions as tx
 from rippleset.plans import views as v
 
 #: The driver's events are sparse and their amounts small, so the queries use lower bounds.
@@ -66,6 +66,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "payment_decisions": _over(v.PAYMENTS, tx.payment_decisions),
     "latest_per_customer": _over(v.TRANSACTIONS, lambda d: tx.latest_per_customer(d, 100)),
     "access_log_stats": _over(v.TRANSACTIONS, tx.access_log_stats),
+    "code_change_risk": lambda s, d: cc.code_change_risk(v.view(s, d, v.CODE_CHANGES), v.view(s, d, v.DEPENDENCIES)),
+    "path_parts": _over(v.CODE_FILES, lambda d: d.select("path", cc.base_name(F.col("path")).alias("base_name"), cc.scan_root(F.col("path")).alias("scan_root"))),
+    "consumer_stats": _over(v.CODE_FILES, lambda d: cc.consumer_stats(sc.call_sites(d))),
+    "consumers_by_repo": _over(v.CODE_FILES, lambda d: cc.consumers_by_repo(sc.call_sites(d))),
+    "upsert_edges": _over(v.EDGES, lambda d: graph.upsert_edges(d, d, d.select(F.col("src").alias("node")))),
+    "table_neighbours": _over(v.FOREIGN_KEYS, graph.table_neighbours),
+    "reversals": lambda s, d: tx.reversals(v.view(s, d, v.REVERSAL_REQUESTS), v.view(s, d, v.PAYMENTS)),
 }
 
 _T, _P, _S, _C, _K, _E = (v.sql(x) for x in (v.TRANSACTIONS, v.PAYMENTS, v.SCHEMA_EVENTS, v.CODE_FILES, v.FOREIGN_KEYS, v.EDGES))
@@ -155,6 +162,15 @@ SELECT payment_id, type, round((CASE type WHEN 'DOMESTIC' THEN CASE WHEN amount
   WHEN 'INTERNATIONAL' THEN least(greatest(amount * 0.03, 35), 250) WHEN 'ACH' THEN 2 WHEN 'WIRE' THEN 30 ELSE 0 END)::DECIMAL(18,4)
   * (CASE WHEN premium THEN 0.5 ELSE 1.0 END)::DECIMAL(2,1) * (CASE WHEN hour > 8 AND hour < 17 AND amount > 50000 THEN 1.1 ELSE 1.0 END)::DECIMAL(2,1), 2)::DECIMAL(18,2) AS fee FROM ({_P})
 """
+_CODE_CHANGE = f"""
+WITH d AS (SELECT change_id, count(*) AS n, sum(regexp_matches(lower(target), '{"|".join(ScoringConfig().critical_keywords)}')::INT) AS critical, bool_or(regexp_matches(target, '{"|".join(ScoringConfig().data_layer_words)}')) AS layer
+  FROM (SELECT DISTINCT * FROM ({v.sql(v.DEPENDENCIES)})) GROUP BY 1),
+j AS (SELECT c.*, coalesce(n, 0) AS n, coalesce(critical, 0) AS critical, coalesce(layer, false) AS layer FROM ({v.sql(v.CODE_CHANGES)}) c LEFT JOIN d USING (change_id)),
+parts AS (SELECT change_id, least(CASE WHEN n > 20 THEN 2.0 WHEN n > 10 THEN 1.5 WHEN n > 5 THEN 1.0 ELSE 0.5 END + {_steps("complexity", (15, "1.5"), (10, "1.0"), (5, "0.5"))} + {_steps("lines_changed", (100, "0.5"), (50, "0.3"))}, 4.0)::DECIMAL(4,2) AS technical,
+  least(CASE WHEN regexp_matches(lower(path), '{"|".join(ScoringConfig().critical_keywords)}') THEN 0.5 ELSE 0.0 END + {_steps("critical", (2, "2.0"), (1, "1.5"), (0, "1.0"))} + CASE WHEN layer THEN 0.5 ELSE 0.0 END + {_steps("n_tables", (5, "1.0"), (2, "0.5"), (0, "0.3"))}, 3.0)::DECIMAL(4,2) AS domain,
+  ({_steps("ai_risks", (3, "1.5"), (1, "1.0"), (0, "0.5"))})::DECIMAL(4,2) AS ai FROM j)
+SELECT *, {_LEVEL} FROM (SELECT *, least((technical + domain + ai) * 1.11, 10)::DECIMAL(6,4) AS score FROM parts)
+"""
 
 ORACLES: dict[str, str] = {
     "flagship_schema_risk": _FLAGSHIP,
@@ -190,4 +206,11 @@ ORACLES: dict[str, str] = {
       WHEN balance + 100000 < amount THEN 'EXCEEDS_LIMIT' WHEN risk > 0.85 THEN 'MANUAL_REVIEW' ELSE 'COMPLETED' END AS decision FROM ({_P}) JOIN (SELECT payment_id, fee FROM ({_FEES})) USING (payment_id))""",
     "latest_per_customer": f"SELECT customer_id, rank, txn_id, amount FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY ts DESC, txn_id DESC)::INT AS rank FROM ({_T})) WHERE rank <= 100",
     "access_log_stats": f"SELECT event_type, count(*) AS n, round(avg(amount::DOUBLE), 4) AS mean_ms, sum((event_type = 'error')::INT)::BIGINT AS failures FROM ({_T}) GROUP BY 1",
+    "code_change_risk": _CODE_CHANGE,
+    "path_parts": f"SELECT path, regexp_extract(path, '([^/]*)$', 1) AS base_name, coalesce(nullif(regexp_extract(path, '^((?:.*/)?src)/', 1), ''), regexp_extract(path, '^(.*)/[^/]*$', 1)) AS scan_root FROM ({_C})",
+    "consumer_stats": f"SELECT path, count(*) AS consumers, count(DISTINCT coalesce(repo, 'unknown')) AS sources FROM ({_CALLS}) GROUP BY 1",
+    "consumers_by_repo": f"SELECT path, coalesce(repo, 'unknown') AS repo, count(*) AS consumers FROM ({_CALLS}) GROUP BY ALL",
+    "upsert_edges": f"SELECT DISTINCT src, rel_type, dst FROM ({_E}) WHERE dst IN (SELECT src FROM ({_E}))",
+    "table_neighbours": f"SELECT source_table AS table_name, target_table AS neighbour, 'out' AS direction FROM ({_K}) UNION SELECT target_table, source_table, 'in' FROM ({_K})",
+    "reversals": f"SELECT request_id, payment_id, (amount + fee)::DECIMAL(18,2) AS refund, CASE WHEN amount IS NULL THEN 'FAILED' ELSE 'REVERSED' END AS status FROM ({v.sql(v.REVERSAL_REQUESTS)}) LEFT JOIN (SELECT payment_id, amount, fee FROM ({_P}) JOIN (SELECT payment_id, fee FROM ({_FEES})) USING (payment_id)) USING (payment_id)",
 }

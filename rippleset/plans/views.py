@@ -64,6 +64,21 @@ SELECT CASE p_size % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'PUT' EL
 FROM {part} WHERE p_partkey % 10 <> 1
 """
 
+CODE_CHANGES = """
+SELECT o_orderkey AS change_id, 'src/' || CASE o_custkey % 3 WHEN 0 THEN 'payment' WHEN 1 THEN 'report' ELSE 'util' END || '/File_' || o_orderkey || '.java' AS path,
+  o_custkey % 20 AS complexity, o_orderkey % 130 AS lines_changed, o_orderkey % 8 AS n_tables, o_orderkey % 6 AS ai_risks FROM {orders}
+"""
+
+#: Lines of four orders in a row are the dependencies of one change; the others have none.
+DEPENDENCIES = """
+SELECT l_orderkey - l_orderkey % 4 AS change_id, CASE l_partkey % 6 WHEN 0 THEN 'PaymentDAO' WHEN 1 THEN 'AuditLog' WHEN 2 THEN 'LookupTable' ELSE 'Dates' END || l_partkey AS target FROM {lineitem}
+"""
+
+#: Every line item asks for a reversal; those not returned name a payment that does not exist.
+REVERSAL_REQUESTS = """
+SELECT CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS request_id, l_orderkey + CASE WHEN l_returnflag = 'R' THEN 0 ELSE CAST(l_linenumber AS BIGINT) * 1000000000 END AS payment_id FROM {lineitem}
+"""
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
 
