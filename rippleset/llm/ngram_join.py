@@ -5,9 +5,9 @@ orders; only then are its sets compared. All orders put the counted frequent shi
 that orders the rest. The first order makes the candidates, the others are intersected with it before verification.
 
 A list of documents that share a prefix token is not expanded into pairs. Every list names a leader; its members are verified against
-it, which joins a group of near copies by a star. Whatever of a list is still apart is then compared between stars' centres
-(hubs), and between members of two stars only where the triangle inequality of the Jaccard distance leaves a link possible. No
-link between different texts is lost, and nothing is capped.
+it, which joins a group of near copies by a star. Then stars' centres (hubs) of one list are compared, and block by block the members of
+a star with each other and with those of a second star where the triangle inequality of the Jaccard distance leaves a link possible.
+All links are counted so, without a row for each; documents with equal sets count one another by the size of their group.
 
 Cases: a null or wordless text has an empty set and links with nothing. Fewer words than a shingle are one token. Equal sets are linked
 without verification. Rows of one id are one document; rows with a null id link with nothing and get a null class.
@@ -35,6 +35,8 @@ FEW = 300_000
 COUNTED = 0.4
 #: Bytes of text that are hashed at once.
 BLOCK = 1 << 20
+#: Sets and tokens of a star's block, on average, and shared tokens that two blocks are compared by at a time.
+BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 256, 1 << 19, 1 << 14
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
@@ -211,6 +213,16 @@ def _listed(docs: DataFrame, ids: DataFrame, how: str, few: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= few else ids, docs["id"] == ids["_need"], how)
 
 
+def _sets(docs: DataFrame, ids: DataFrame, size: int, few: int) -> DataFrame:
+    """``id``, ``tokens`` (bytes of the ascending hashes) of listed documents."""
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "tokens"])
+
+    return written(_listed(docs, ids, "left_semi", few).select("id", "_text").mapInArrow(sets, "id bigint, tokens binary"), "sets")
+
+
 def verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, orders, size: int, percent: int, n_orders: int, few: int = FEW) -> DataFrame:
     """``a``, ``b``, ``distance``, ``linked`` of candidate pairs.
 
@@ -222,11 +234,7 @@ def verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, orders, size:
     pairs = sized.where("fits").select("a", "b")
     ids = pairs.select(F.col("a").alias("_need")).union(pairs.select("b")).distinct()
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "tokens"])
-
-    needed = written(_listed(docs, ids, "left_semi", few).select("id", "_text").mapInArrow(sets, "id bigint, tokens binary"), "sets")
+    needed = _sets(docs, ids, size, few)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = orders.value
@@ -248,6 +256,73 @@ def verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, orders, size:
     return written(rows.mapInArrow(compare, "a bigint, b bigint, distance double, linked boolean").unionByName(unfit), "verified")
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Tokens that each set of the one list shares with each of the other, as a matrix."""
+    sides = []
+    for sets in (left, right):
+        tokens, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        by = np.argsort(tokens)
+        sides.append((tokens[by], row[by]))
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, len(both), COLUMNS):
+        part, dense = both[at : at + COLUMNS], []
+        for (tokens, row), sets in zip(sides, (left, right), strict=True):
+            lo, hi = np.searchsorted(tokens, part[0]), np.searchsorted(tokens, part[-1], "right")
+            tokens, row = tokens[lo:hi], row[lo:hi]
+            place = np.searchsorted(part, tokens)
+            hit = part[place] == tokens
+            matrix = np.zeros((len(sets), len(part)), np.float32)
+            matrix[row[hit], place[hit]] = 1
+            dense.append(matrix)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def link_tally(docs: DataFrame, members: DataFrame, work: DataFrame, size: int, percent: int, few: int = FEW) -> DataFrame:
+    """All links between the sets of two stars (``work``: ``a``, ``b``, ``blocks_a``, ``blocks_b``; one star if ``a`` = ``b``).
+
+    Rows ``a``, null, ``n``: a set and the documents that it links with in one pair of blocks. Rows ``a``, ``b``, null: classes that a link
+    joins. Each pair of blocks is compared in its own group, so a large star is split over tasks and no row is made for a pair of sets.
+    """
+    blocks = work.select("a", "b", "blocks_b", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)).alias("i"))
+    blocks = blocks.select("a", "b", "i", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)).alias("j")).where("a <> b or i <= j")
+    blocks = written(blocks, "block-pairs")
+    stars = blocks.select(F.col("a").alias("hub")).union(blocks.select("b")).distinct()
+    held = members.join(stars, "hub", "left_semi").select("hub", "id", "class", "copies", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+    held = written(held, "held")
+    held = written(held.join(_sets(docs, held.select(F.col("id").alias("_need")).distinct(), size, few).dropDuplicates(["id"]), "id"), "held-sets")
+    columns = ["a", "b", "i", "j", "side", "id", "class", "copies", "tokens"]
+    left = blocks.join(held.select(F.col("hub").alias("a"), F.col("block").alias("i"), "id", "class", "copies", "tokens"), ["a", "i"]).withColumn("side", F.lit(0)).select(columns)
+    right = blocks.where("a <> b or i <> j").join(held.select(F.col("hub").alias("b"), F.col("block").alias("j"), "id", "class", "copies", "tokens"), ["b", "j"]).withColumn("side", F.lit(1)).select(columns)
+
+    def tally(given: pa.Table) -> pa.Table:
+        side, ids, group, copies = (given.column(x).to_numpy() for x in ("side", "id", "class", "copies"))
+        sets = [np.frombuffer(x, np.uint64) for x in given.column("tokens").to_pylist()]
+        n = np.array([len(x) for x in sets])
+        x = np.flatnonzero(side == 0)
+        within = given.column("a")[0] == given.column("b")[0] and given.column("i")[0] == given.column("j")[0]
+        y = x if within else np.flatnonzero(side == 1)
+        if not len(x) or not len(y):
+            return pa.table({"a": [], "b": [], "n": []}, schema=schema)
+        both = common_counts([sets[k] for k in x], [sets[k] for k in y])
+        linked = 100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)
+        if within:
+            np.fill_diagonal(linked, False)
+        found = [(ids[x], linked @ copies[y])] + ([] if within else [(ids[y], linked.T @ copies[x])])
+        at, to = np.nonzero(linked & (group[x][:, None] != group[y][None, :]))
+        joins = np.unique(np.stack([group[x][at], group[y][to]], 1), axis=0)
+        counted = np.concatenate([k for k, _ in found])
+        return pa.table({
+            "a": pa.array(np.concatenate([counted, joins[:, 0]])),
+            "b": pa.concat_arrays([pa.nulls(len(counted), pa.int64()), pa.array(joins[:, 1])]),
+            "n": pa.concat_arrays([pa.array(np.concatenate([k for _, k in found])), pa.nulls(len(joins), pa.int64())]),
+        }, schema=schema)
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+    return written(left.union(right).groupBy("a", "b", "i", "j").applyInArrow(tally, "a bigint, b bigint, n bigint"), "tally")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id``, ``class`` (smallest id reachable) of all ids in edges ``a``, ``b``: large and small stars in turn until nothing moves."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
@@ -266,7 +341,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int = 3, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, most: int = MAX_FREQUENT, few: int = FEW) -> DataFrame:
-    """``id_col`` (long), ``n_shingles``, ``component_id`` and ``n_links`` (verified links of its set) of every row."""
+    """``id_col`` (long), ``n_shingles``, ``component_id`` and ``n_links`` (other documents at ``percent`` or more) of every row."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("_text"))
 
@@ -278,9 +353,8 @@ def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int
 
     orders = spark.sparkContext.broadcast(frequent_shingles(docs, size, frequent, most))  # bounded by ``most``
     shared = shared_prefixes(docs, orders, size, percent)
-    copies = shared.where("kind = 1").select("id", F.col("leader").alias("set_id"))
     sizes = shared.where("kind = 1").groupBy("id").agg(F.max("n").alias("n"))
-    moved = copies.where("id <> set_id").distinct()
+    moved = shared.where("kind = 1 and id <> leader").select("id", F.col("leader").alias("set_id")).distinct()
 
     # Lists of the sets' first documents: copies stand aside.
     lists = shared.where("kind = 0").select("token", "id", "leader").join(moved, "id", "left").select("token", F.coalesce("set_id", "id").alias("id"), "leader")
@@ -291,41 +365,46 @@ def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int
     links = first.where("linked").select("a", "b")
     classes = components(links)
 
-    # Each set's hub: the leader nearest to it among its links, or itself.
+    # Each set's hub: the smallest leader that it links with, or itself.
     to_hub = first.where("linked").join(stars, ["a", "b"]).select(F.when(F.col("leader") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("id"), "leader", "distance")
-    hubs = to_hub.groupBy("id").agg(F.min(F.struct("distance", "leader")).alias("h")).select("id", F.col("h.leader").alias("hub"), F.col("h.distance").alias("away"))
-    placed = lists.select("token", "id").join(hubs, "id", "left").join(classes, "id", "left").select("token", "id", F.coalesce("hub", "id").alias("hub"), F.coalesce("away", F.lit(0.0)).alias("away"), F.coalesce("class", "id").alias("class"))
-    apart = placed.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("token")
-    placed = written(placed.join(apart, "token"), "open-lists")
-
-    # Between hubs of one list that are still apart.
-    centres = placed.select("token", "hub", "class").distinct()
-    other = centres.select("token", F.col("hub").alias("hub2"), F.col("class").alias("class2"))
-    between = centres.join(other, "token").where("hub < hub2 and class <> class2").select(F.col("hub").alias("a"), F.col("hub2").alias("b")).distinct()
-    fresh = written(between.join(first.select("a", "b"), ["a", "b"], "left_anti"), "hub-pairs")
+    hubs = to_hub.groupBy("id").agg(F.min(F.struct("leader", "distance")).alias("h")).select("id", F.col("h.leader").alias("hub"), F.col("h.distance").alias("away"))
+    placed = written(lists.select("token", "id").join(hubs, "id", "left").select("token", "id", F.coalesce("hub", "id").alias("hub"), F.coalesce("away", F.lit(0.0)).alias("away")), "placed")
+
+    # Between hubs that share a list.
+    centres = placed.select("token", "hub").distinct()
+    between = centres.join(centres.select("token", F.col("hub").alias("hub2")), "token").where("hub < hub2").select(F.col("hub").alias("a"), F.col("hub2").alias("b")).distinct()
+    between = written(between, "hub-pairs")
+    fresh = written(between.join(first.select("a", "b"), ["a", "b"], "left_anti"), "fresh-pairs")
     second = verified(docs, sizes, fresh, orders, size, percent, n_orders, few)
     links = links.union(second.where("linked").select("a", "b"))
-
-    # Between members of two stars, where a link is possible.
     classes = components(links)
-    known = first.select("a", "b", "distance").union(second.select("a", "b", "distance"))
-    radius = placed.groupBy("hub").agg(F.max("away").alias("radius"))
-    reach = between.join(known, ["a", "b"]).join(radius.select(F.col("hub").alias("a"), F.col("radius").alias("r1")), "a").join(radius.select(F.col("hub").alias("b"), F.col("radius").alias("r2")), "b")
-    least = 1 - percent / 100 + 1e-9
-    reach = reach.where((F.col("r1") + F.col("r2") > 0) & (F.col("distance") - F.col("r1") - F.col("r2") <= least)).select("a", "b", "distance")
-    now = placed.drop("class").join(classes, "id", "left").select("token", "id", "hub", "away", F.coalesce("class", "id").alias("class"))
-    left = now.join(reach, now["hub"] == reach["a"]).select("token", "b", "distance", F.col("id").alias("x"), F.col("away").alias("away_x"), F.col("class").alias("class_x"))
-    right = now.select("token", F.col("hub").alias("b"), F.col("id").alias("y"), F.col("away").alias("away_y"), F.col("class").alias("class_y"))
-    members = left.join(right, ["token", "b"]).where((F.col("class_x") != F.col("class_y")) & (F.col("distance") - F.col("away_x") - F.col("away_y") <= least))
-    members = members.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    members = written(members.join(known.select("a", "b"), ["a", "b"], "left_anti"), "member-pairs")
-    third = verified(docs, sizes, members, orders, size, percent, n_orders, few)
-    links = links.union(third.where("linked").select("a", "b"))
 
-    classes = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_links"))
+    # Documents of each set.
     every = shared.where("kind > 0").select("id", "n", F.col("leader").alias("set_id"))
     every = every.union(again.join(every.withColumnRenamed("id", "first").dropDuplicates(["first"]), "first").select("id", "n", F.when(F.col("n") > 0, F.col("set_id")).otherwise(F.col("id"))))
+    every = written(every, "sets-of-documents")
+    copies = every.where("n > 0").select("set_id", "id").distinct().groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"))
+
+    # Between members of one star and of two stars, where a link is possible.
+    members = placed.select("id", "hub", "away").distinct().join(sizes, "id").join(copies.withColumnRenamed("set_id", "id"), "id").join(classes, "id", "left")
+    members = written(members.withColumn("class", F.coalesce("class", "id")), "members")
+    star = members.groupBy("hub").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens"))
+    star = written(star.select("hub", "radius", "rows", F.ceil(F.greatest(F.col("rows") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks")), "stars-of-sets")
+    known = first.select("a", "b", "distance", "linked").union(second.select("a", "b", "distance", "linked"))
+    one, two = (star.select(F.col("hub").alias(x), F.col("radius").alias(f"radius_{x}"), F.col("blocks").alias(f"blocks_{x}")) for x in "ab")
+    reach = written(between.join(known, ["a", "b"]).join(one, "a").join(two, "b"), "reach")
+    alone = F.col("radius_a") + F.col("radius_b") == 0  # two stars of one set each: verified already
+    least = 1 - percent / 100 + 1e-9
+    across = reach.where(~alone & (F.col("distance") - F.col("radius_a") - F.col("radius_b") <= least)).select("a", "b", "blocks_a", "blocks_b")
+    work = across.union(star.where("rows > 1").select("hub", "hub", "blocks", "blocks"))
+    tally = link_tally(docs, members.join(star.select("hub", "blocks"), "hub"), work, size, percent, few)
+
+    links = links.union(tally.where("n is null").select("a", "b"))
+    classes = components(links)
+    sure = reach.where(alone & F.col("linked")).select("a", "b")
+    sure = sure.union(sure.select("b", "a")).toDF("id", "set_id").join(copies, "set_id").select("id", F.col("copies").alias("n"))
+    found = tally.where("n is not null").select(F.col("a").alias("id"), "n").union(sure).groupBy("id").agg(F.sum("n").alias("found"))
+    degree = copies.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = every.join(classes.withColumnRenamed("id", "set_id"), "set_id", "left").join(degree, "set_id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("class", "set_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 

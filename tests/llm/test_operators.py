@@ -136,6 +136,30 @@ def test_ngram_join(spark):
     assert kept == set(label.values())
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_ngram_links(spark, monkeypatch, block):
+    """Every document's number of links, in groups of near and of equal copies, beside brute force."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    rng = np.random.default_rng(8)
+    texts = [None, "", "one two", "ONE two", "one  two", "a b c d e", "a b c d e"]
+    for group in range(3):
+        base = [f"g{group}_{x}" for x in range(100)]
+        for k in range(20):
+            near = list(base)
+            for at in rng.integers(0, 100, k % 5):
+                near[at] = f"e{group}_{k}"
+            texts.append(" ".join(near))
+    given = list(enumerate(texts)) + [(9, texts[9])]
+    sets = {}
+    for i, t in given:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))} if w else set()
+    want = {a: sum(bool(a != b and sets[a] and sets[b]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for b in sets) for a in sets}
+    assert len(set(want.values())) > 5
+    got = ngram_join.near_classes(docs(spark, given + [(None, "a b c d e")])).collect()
+    assert len(got) == len(given) + 1 and all(r["n_links"] == want.get(r["doc_id"], 0) for r in got)
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.near_classes(docs(spark, [])).count() == 0
 
