@@ -9,10 +9,13 @@ first by id. Repeated rows are treated alike. Texts of any length are digested w
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippleset.llm.common import table
+from rippleset.llm.license_digests import FULL_DIGESTS
 
 # --- Fixed values: known licence texts and notices, and spellings that mean the same ---
 KNOWN = (
@@ -29,20 +32,53 @@ The above copyright notice and this permission notice shall be included in all c
 
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
 )
+#: Texts of which the SQL knows nothing.
+MORE = (
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+)
+#: Title lines that are set before texts which have none.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD License", "Simplified BSD License", "BSD-2-Clause"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD License", "New BSD License", "Modified BSD License", "BSD-3-Clause"),
+}
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("acknowledgement", "acknowledgment"), ("whilst", "while"), ("wilful", "willful"),
              ("favour", "favor"), ("honour", "honor"), ("organisation", "organization"), ("merchantibility", "merchantability"))
 # ---
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+_SIGN, _YEAR = r"(?:\((?i:c)\)|©)", r"[\[<{(]?[ \t]*(?:(?:19|20)\d\d|(?i:y{2,4}|year)\b)"
+#: Words that go on with a sentence; a holder's name does not begin with them.
+_SENTENCE = r"(?i:notices?|holders?|owners?|laws?|licen[cs](?:es?|ed|ing)|and|or|of|in|on|is|are|as|at|to|for|from|with|may|that|this|the|interests?|statements?|acts?|treat(?:y|ies)|protection|permission|disclaimers?|rights?|status|infringement)\b"
+#: The copyright lines that are taken out: a sign, a year or a holder follows; a wrapped sentence may begin with the word too.
+COPYRIGHT_NOTICE = (
+    rf"(?m)^[ \t#*/;-]*(?:(?i:copyright)\b[ \t:]*(?:{_SIGN}|{_YEAR}|(?!{_SENTENCE})(?:(?i:by[ \t])|[A-Z\[<{{]))|{_SIGN}[ \t]*{_YEAR}|©"
+    r"|(?i:all[ \t]+rights[ \t]+reserved)(?=[ \t\r.!*/#;-]*$))[^\n]*$")
 #: Characters that are not letters, digits or beyond ASCII.
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def canonical(text: Column, whole: bool = True) -> Column:
     """The form that is digested: lower case, no copyright lines, one spelling, words apart by one space."""
-    text = F.translate(text, UPPER, LOWER)
     if whole:
-        text = F.when(text.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(text, COPYRIGHT_LINE, "")).otherwise(text)
+        text = F.when(text.rlike(r"(?i:copyright|\(c\)|©|all[ \t]+rights[ \t]+reserved)"), F.regexp_replace(text, COPYRIGHT_NOTICE, "")).otherwise(text)
+    text = F.translate(text, UPPER, LOWER)
     text = F.concat(F.lit(" "), F.regexp_replace(text, PUNCTUATION, " "), F.lit(" "))
     one = text
     for other, plain in SPELLINGS:
@@ -51,12 +87,29 @@ def canonical(text: Column, whole: bool = True) -> Column:
     return F.trim(text)
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """``digest`` and ``license`` of the known texts."""
-    given = spark.createDataFrame(list(known), "license string, text string").withColumn("form", canonical(F.col("text")))
+def full_forms(text: str, title_lines: int) -> list[str]:
+    """A licence file as it is usually met: with and without its title or appendix, wrapped and by paragraphs."""
+    end = re.search(r"END OF TERMS AND CONDITIONS", text)
+    whole = [text] + ([text[: end.end()]] if end else [])
+    lines = [t.split("\n") for t in whole]
+    starts = [[k for k, x in enumerate(t) if x.strip()] for t in lines]
+    forms = whole + ["\n".join(t[at[k]:]) for t, at in zip(lines, starts, strict=True) for k in range(1, title_lines + 1)]
+    return forms + ["\n\n".join(" ".join(p.split()) for p in re.split(r"\n[ \t]*\n", form)) for form in forms]
+
+
+def digests(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
+    """``digest`` and ``license`` of texts."""
+    given = spark.createDataFrame(texts, "license string, text string").withColumn("form", canonical(F.col("text")))
     return given.where("form <> ''").groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"))
 
 
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = (*KNOWN, *MORE), full: tuple[tuple[str, str], ...] = FULL_DIGESTS) -> DataFrame:
+    """``digest`` and ``license`` of the known texts, with titles where they have none, and of full licence files."""
+    titled = [(x, f"{title}\n\n{text}") for x, text in known if "\n" in text for title in TITLES.get(x, ())]
+    both = digests(spark, [*known, *titled]).union(spark.createDataFrame(list(full), "license string, digest string").select("digest", "license"))
+    return both.groupBy("digest").agg(F.min("license").alias("license"))
+
+
 def license_scan(df: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_word: str | None = None) -> DataFrame:
     """``id_col``, ``digest`` of the entire text, its ``license``, and ``notices``, the licences of single lines (sorted, once each).
 

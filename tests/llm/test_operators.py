@@ -3,13 +3,15 @@
 import collections
 import hashlib
 import re
+import textwrap
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from rippleset.llm import chat_format, decontaminate, license_scan, ngram_join, piece_tokens, queries, secret_scan, suffix_dedup, token_counts, toxicity, voronoi_topk
+from rippleset.llm import chat_format, decontaminate, license_digests, license_scan, ngram_join, piece_tokens, queries, secret_scan, suffix_dedup, token_counts, toxicity, voronoi_topk
 from tests.parity import both, connect
 
 SF = "/root/testdata/sf0.001"
@@ -210,6 +212,28 @@ def test_license(spark):
     assert got == {0: (None, []), 1: (None, []), 2: ("MIT", []), 3: (None, ["MIT"]), 4: ("MIT", ["MIT"]), 5: (None, [])}
 
 
+def test_license_texts(spark):
+    """Every known text is found wrapped at any width, unwrapped, with and without a title; sentences that begin a line with the word stay."""
+    wrap = lambda text, n: "\n\n".join(p if re.search(r"(?m)^\W*Copyright \W*(\([Cc]\)|\[|\d)", p) else textwrap.fill(" ".join(p.split()), n) for p in re.split(r"\n[ \t]*\n", text))
+    texts, want = [], []
+    for name, text in (*license_scan.KNOWN, *license_scan.MORE):
+        if "\n" in text:
+            for title in ("", *(f"{t}\n\n" for t in license_scan.TITLES[name])):
+                texts += [f"{title}Copyright (c) 2020, Some One <a@b.c>\nAll rights reserved.\n\n{wrap(text, n)}" for n in (*range(40, 100, 3), 10**6)]
+            want += [name] * (len(texts) - len(want))
+    for file, name, titles in license_digests.FILES:
+        path = Path("/usr/share/common-licenses", file)
+        if path.exists():
+            text = path.read_text()
+            texts += [*license_scan.full_forms(text, titles), *(wrap(text, n) for n in (40, 57, 72, 99))]
+            want += [name] * (len(texts) - len(want))
+    got = {r["doc_id"]: r["license"] for r in license_scan.license_scan(docs(spark, list(enumerate(texts))), license_scan.known_digests(spark)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    changed = [(0, "x\ncopyright notice and y\nz"), (1, "x\nand y\nz"), (2, "x\n(c) You must keep it\nz"), (3, "x\nz"), (4, "x\nCopyright Some One\n(c) 1999 A\n\u00a9 B\nCOPYRIGHT [yyyy] C\nz")]
+    digest = {r["doc_id"]: r["digest"] for r in license_scan.license_scan(docs(spark, changed), license_scan.known_digests(spark)).collect()}
+    assert digest[4] == digest[3] and len({digest[i] for i in range(4)}) == 4
+
+
 def test_token_counts(spark, rows, tmp_path):
     tokens = [3, 9, 9, 1, 1, 1, 1, 1, 9, 2]
     for name, ids in (("a", tokens), ("b", []), ("c", [9]), ("d", [5] * 7)):
