@@ -29,9 +29,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.schema_change_risk(v.view(spark, sf_dir, v.SCHEMA_EVENTS), sc.usages(v.view(spark, sf_dir, v.CODE_FILES)), v.view(spark, sf_dir, v.FOREIGN_KEYS))
 
 
-def _reach(edges: DataFrame, back: bool) -> DataFrame:
+def _reach(edges: DataFrame, back: bool, depth: int = 2) -> DataFrame:
     edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if back else edges
-    found = graph.reachable(edges, edges.select(F.col("src").alias("node")).distinct(), depth=2)
+    found = graph.reachable(edges, edges.select(F.col("src").alias("node")).distinct(), depth=depth)
     return graph.node_risk(found, "reverse" if back else "forward").groupBy("start", "risk").agg(F.count(F.lit(1)).alias("nodes"), F.max("distance").alias("farthest"))
 
 
@@ -50,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dependency_counts": _over(v.EDGES, graph.dependency_counts),
     "reachable_forward": _over(v.EDGES, lambda d: _reach(d, False)),
     "reachable_reverse": _over(v.EDGES, lambda d: _reach(d, True)),
+    "module_reachable_forward": _over(v.EDGES, lambda d: _reach(d, False, depth=3)),
+    "module_reachable_reverse": _over(v.EDGES, lambda d: _reach(d, True, depth=3)),
     "daily_summary": _over(v.TRANSACTIONS, tx.daily_summary),
     "customer_stats": _over(v.TRANSACTIONS, tx.customer_stats),
     "customer_median": _over(v.TRANSACTIONS, tx.customer_median),
@@ -139,6 +141,15 @@ SELECT start, CASE distance WHEN 1 THEN '{first}' ELSE 'medium' END AS risk, cou
 """
 
 
+def _module_reach_sql(src: str, dst: str, first: str) -> str:
+    return f"""
+WITH e AS (SELECT DISTINCT {src} AS src, {dst} AS dst FROM ({_E})), one AS (SELECT src AS start, dst AS node FROM e),
+two AS (SELECT DISTINCT start, e.dst AS node FROM one JOIN e ON one.node = e.src), three AS (SELECT DISTINCT start, e.dst AS node FROM two JOIN e ON two.node = e.src),
+hops AS (SELECT *, 1 AS distance FROM one UNION ALL SELECT *, 2 FROM two UNION ALL SELECT *, 3 FROM three), least_ AS (SELECT start, node, min(distance) AS distance FROM hops WHERE start <> node GROUP BY ALL)
+SELECT start, CASE distance WHEN 1 THEN '{first}' WHEN 2 THEN 'medium' ELSE 'low' END AS risk, count(*) AS nodes, max(distance)::INT AS farthest FROM least_ GROUP BY start, CASE distance WHEN 1 THEN '{first}' WHEN 2 THEN 'medium' ELSE 'low' END
+"""
+
+
 _PREV = f"SELECT *, lag(ts) OVER w AS prev_ts FROM ({_T}) WINDOW w AS (PARTITION BY customer_id ORDER BY ts, txn_id)"
 _GAP = "(epoch_us(ts) - epoch_us(prev_ts))"
 _RAPID = f"SELECT customer_id, count(*) AS n_rapid, floor(min({_GAP}) / 1000000.0)::BIGINT AS least_seconds FROM ({_PREV}) WHERE {_GAP} < 300000000 GROUP BY 1"
@@ -189,6 +200,8 @@ ORACLES: dict[str, str] = {
       FROM (SELECT src AS node, rel_type IN ({_DIRECT}) AS d, true AS o FROM ({_E}) UNION ALL SELECT dst, rel_type IN ({_DIRECT}), false FROM ({_E})) GROUP BY 1""",
     "reachable_forward": _reach_sql("src", "dst", "medium"),
     "reachable_reverse": _reach_sql("dst", "src", "high"),
+    "module_reachable_forward": _module_reach_sql("src", "dst", "medium"),
+    "module_reachable_reverse": _module_reach_sql("dst", "src", "high"),
     "daily_summary": f"SELECT ts::DATE AS day, count(*) AS n, sum(amount)::DECIMAL(18,2) AS total, round(avg(amount::DOUBLE), 6) AS mean FROM ({_T}) GROUP BY 1",
     "customer_stats": f"SELECT customer_id, count(*) AS n, round(avg(amount::DOUBLE), 6) AS mean, round(stddev_samp(amount::DOUBLE), 6) AS std, min(amount) AS least, max(amount) AS most, count(DISTINCT location) AS locations, count(DISTINCT device) AS devices FROM ({_T}) GROUP BY 1",
     "customer_median": f"SELECT customer_id, median(amount::DOUBLE)::DECIMAL(18,3) AS median FROM ({_T}) GROUP BY 1",
