@@ -94,16 +94,33 @@ def new_device_high_amount(txns: DataFrame, factor: float = 5.0) -> DataFrame:
     return once.join(mean, "customer_id").where(F.col("amount").cast("double") > factor * F.col("mean")).select("txn_id", "customer_id", "device", "amount")
 
 
-def fraud_alerts(txns: DataFrame, config: FraudConfig | None = None) -> DataFrame:
-    """The first rule each transaction breaks: amount, factor over the mean, count in 24 hours, gap."""
+def fraud_alerts(txns: DataFrame, config: FraudConfig | None = None, devices: DataFrame | None = None) -> DataFrame:
+    """The first rule each transaction breaks: R1 amount, R2 factor over the mean, R3 count in 24 hours, R4 gap, R5 travel, R6 country, R7 unknown
+    device, R8 model score, R9 young account.
+
+    R5, R6, R8 and R9 need ``distance_km`` (from the transaction before), ``country``, ``model_score`` and ``account_age_days``; R7 needs
+    ``devices`` (``customer_id``, ``device``), the known ones. A column that is null or missing skips its rule.
+    """
     config = config or FraudConfig()
     mean = txns.groupBy("customer_id").agg(F.avg(F.col("amount").cast("double")).alias("mean"))
     found = with_previous(txns).join(velocity_24h(txns).select("txn_id", "n_before"), "txn_id").join(mean, "customer_id")
+    unknown = F.lit(False)
+    if devices is not None:
+        known = devices.select(F.col("customer_id").alias("_owner"), F.col("device").alias("_device")).where("_device is not null").distinct().withColumn("_known", F.lit(True))
+        found = found.join(known, (found["customer_id"] == known["_owner"]) & (found["device"] == known["_device"]), "left").drop("_owner", "_device")
+        unknown = F.col("_known").isNull()
+    given = lambda name, kind: F.col(name) if name in txns.columns else F.lit(None).cast(kind)
     gap = minutes_since_previous()
+    recent = gap < 24 * 60
     x = F.col("amount").cast("double")
+    moved = ~F.col("location").eqNullSafe(F.col("prev_location"))
     rule = (
         F.when(x > config.max_amount, "R1").when(x > config.unusual_factor * F.col("mean"), "R2").when(F.col("n_before") > config.max_per_day, "R3")
-        .when((gap < 24 * 60) & (F.floor(gap) < config.min_gap_minutes), "R4"))
+        .when(recent & (F.floor(gap) < config.min_gap_minutes), "R4")
+        .when(recent & moved & (given("distance_km", "double") > config.travel_km) & (F.floor(gap / 60) < config.travel_hours), "R5")
+        .when(given("country", "string").isin(*config.countries), "R6").when(unknown & (x > config.new_device_amount), "R7")
+        .when(given("model_score", "double") > config.model_score, "R8")
+        .when((given("account_age_days", "int") < config.young_account_days) & (x > config.young_account_amount), "R9"))
     return found.withColumn("rule", rule).where("rule is not null").select("txn_id", "customer_id", "rule", F.lit("HIGH").alias("severity"))
 
 
@@ -132,8 +149,10 @@ def risk_profiles(txns: DataFrame, alerts: DataFrame) -> DataFrame:
     return customer_risk(txns).join(alerts_per_customer(alerts), "customer_id", "left").withColumn("alerts", F.coalesce("alerts", F.lit(0).cast("long")))
 
 
-def daily_fraud_report(txns: DataFrame, risks: DataFrame, high_risk: str = "0.45", concerning: int = 10) -> DataFrame:
-    """Transactions, high-risk ones, mean risk over transactions and verdict of each day."""
+def daily_fraud_report(txns: DataFrame, risks: DataFrame, high_risk: str | None = None, concerning: int | None = None, config: CustomerRiskConfig | None = None) -> DataFrame:
+    """Transactions, high-risk ones, mean risk over transactions and verdict of each day; bounds that are not given are those of ``config``."""
+    config = config or CustomerRiskConfig()
+    high_risk, concerning = config.high_risk if high_risk is None else high_risk, config.concerning_count if concerning is None else concerning
     joined = txns.join(risks.select("customer_id", "score"), "customer_id")
     out = joined.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("score") > D(high_risk)).cast("long")).alias("high_risk"), F.round(F.avg(F.col("score").cast("double")), 6).alias("mean_risk"))
     return out.withColumn("verdict", F.when(F.col("high_risk") > concerning, "CONCERNING").otherwise("ACCEPTABLE"))
@@ -149,13 +168,17 @@ def fees(payments: DataFrame) -> DataFrame:
     return payments.select("payment_id", "type", F.round(fee, 2).cast("decimal(18,2)").alias("fee"))
 
 
-def payment_decisions(payments: DataFrame, overdraft_limit: int = 100_000, review: str = "0.85") -> DataFrame:
-    """Decision of each payment, in order of the checks, and its total with the fee when completed."""
+def payment_decisions(payments: DataFrame, overdraft_limit: int = 100_000, review: str = "0.85", alerts: DataFrame | None = None) -> DataFrame:
+    """Decision of each payment, in order of the checks, and its total with the fee when completed; ``alerts`` (``txn_id``) are those of the payments."""
     found = payments.join(fees(payments).select("payment_id", "fee"), "payment_id")
+    fraud = F.lit(False)
+    if alerts is not None:
+        found = found.join(alerts.select(F.col("txn_id").alias("payment_id")).distinct().withColumn("_fraud", F.lit(True)), "payment_id", "left")
+        fraud = F.col("_fraud").isNotNull()
     x, balance = F.col("amount"), F.col("balance")
     decision = (
         F.when(x <= 0, "INVALID").when(F.col("blocked"), "BLOCKED").when((balance < x) & ~F.col("overdraft"), "INSUFFICIENT").when(balance + overdraft_limit < x, "EXCEEDS_LIMIT")
-        .when(F.col("risk") > D(review), "MANUAL_REVIEW").otherwise("COMPLETED"))
+        .when(fraud, "REJECTED").when(F.col("risk") > D(review), "MANUAL_REVIEW").otherwise("COMPLETED"))
     return found.withColumn("decision", decision).select("payment_id", "decision", F.when(F.col("decision") == "COMPLETED", x + F.col("fee")).cast("decimal(18,2)").alias("total"))
 
 

@@ -63,7 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fraud_alerts": _over(v.TRANSACTIONS, lambda d: tx.fraud_alerts(d, FRAUD)),
     "alerts_per_customer": _over(v.TRANSACTIONS, lambda d: tx.alerts_per_customer(tx.fraud_alerts(d, FRAUD))),
     "customer_risk": _over(v.TRANSACTIONS, lambda d: tx.customer_risk(d, RISK)),
-    "daily_fraud_report": _over(v.TRANSACTIONS, lambda d: tx.daily_fraud_report(d, tx.customer_risk(d, RISK))),
+    "daily_fraud_report": _over(v.TRANSACTIONS, lambda d: tx.daily_fraud_report(d, tx.customer_risk(d, RISK), high_risk="0.45")),
     "fees": _over(v.PAYMENTS, tx.fees),
     "payment_decisions": _over(v.PAYMENTS, tx.payment_decisions),
     "latest_per_customer": _over(v.TRANSACTIONS, lambda d: tx.latest_per_customer(d, 100)),

@@ -1,7 +1,11 @@
 """Rules and forms that the driver's tables do not hold, on literal rows."""
 
+from datetime import datetime, timedelta
+from decimal import Decimal
+
 import pytest
 
+from rippleset.operators import transactions as tx
 from rippleset.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -13,3 +17,48 @@ def test_three_steps(spark, name):
     assert {r["farthest"] for r in found if r["risk"] == "low"} == {3}
     assert any(r["risk"] == "medium" and r["farthest"] == 2 for r in found)
     assert any(r["risk"] == "high" and r["farthest"] == 1 for r in found) or name.endswith("forward")  # forward, the steps 1 and 2 are both medium
+
+
+def test_nine_rules(spark):
+    start = datetime(2024, 3, 5, 8)
+    rows, want = [], {}
+
+    def customer(rule, amount=100, hours=30, country="AA", device="d", place="p", km=None, score=0.1, age=100):
+        """Quiet transactions, then the one in question."""
+        k = len(want)
+        rows.extend((100 * k + i, k, start + timedelta(days=2 * i), Decimal(6000), "d", "p", None, "AA", 0.1, 100) for i in range(3))
+        rows.append((100 * k + 9, k, start + timedelta(days=4, hours=hours), Decimal(amount), device, place, km, country, score, age))
+        want[100 * k + 9] = rule
+
+    customer(None)
+    customer("R1", 50001)
+    customer("R4", hours=0.02)
+    customer("R5", hours=1.99, place="q", km=501.0)
+    for free in ({"hours": 2.0, "place": "q", "km": 501.0}, {"hours": 1.0, "place": "q", "km": 500.0}, {"hours": 1.0, "place": "q"}, {"country": None, "score": None, "age": None}, {"amount": 5000, "age": 6}, {"amount": 5001, "age": 7}, {"score": 0.85}):
+        customer(None, **free)
+    customer("R6", country="YY", device="new", amount=10001)
+    customer("R7", device="new", amount=10001, score=0.9)
+    customer("R7", device=None, amount=10001)
+    customer(None, device="new", amount=10000)
+    customer("R8", score=0.86, age=1, amount=5001)
+    customer("R9", amount=5001, age=6)
+    txns = spark.createDataFrame(rows, "txn_id long, customer_id long, ts timestamp, amount decimal(18,2), device string, location string, distance_km double, country string, model_score double, account_age_days int")
+    devices = txns.where("device = 'd'").select("customer_id", "device")
+    got = {r["txn_id"]: r["rule"] for r in tx.fraud_alerts(txns, devices=devices).collect()}
+    assert got == {i: rule for i, rule in want.items() if rule}
+    plain = tx.fraud_alerts(txns.drop("distance_km", "country", "model_score", "account_age_days"))
+    assert {r["rule"] for r in plain.collect()} == {"R1", "R4"}
+
+
+def test_fraud_rejects(spark):
+    schema = "payment_id long, amount decimal(18,2), type string, hour int, premium boolean, balance decimal(18,2), blocked boolean, overdraft boolean, risk decimal(4,2)"
+    payments = spark.createDataFrame([(i, Decimal(10), "ACH", 1, False, Decimal(99), i == 4, False, Decimal(risk)) for i, risk in ((1, "0.1"), (2, "0.1"), (3, "0.9"), (4, "0.1"))], schema)
+    alerts = spark.createDataFrame([(2,), (2,), (3,), (4,)], "txn_id long")
+    got = {r["payment_id"]: (r["decision"], r["total"]) for r in tx.payment_decisions(payments, alerts=alerts).collect()}
+    assert got == {1: ("COMPLETED", Decimal(12)), 2: ("REJECTED", None), 3: ("REJECTED", None), 4: ("BLOCKED", None)}
+
+
+def test_report_bound(spark):
+    txns = spark.createDataFrame([(k, datetime(2024, 1, 1)) for k in range(3)], "customer_id int, ts timestamp")
+    risks = spark.createDataFrame([(0, Decimal("0.50")), (1, Decimal("0.85")), (2, Decimal("0.86"))], "customer_id int, score decimal(4,2)")
+    assert tx.daily_fraud_report(txns, risks).first()["high_risk"] == 1
