@@ -37,6 +37,8 @@ CLASSES = (
 PLACES = {"DROP_TABLE": (1, 0, 0), "ADD_INDEX": (2, 1, 0), "DROP_INDEX": (2, 1, 0), "SET_DEFAULT": (0, 1, 2), "DROP_DEFAULT": (0, 1, 0), "SET_NOT_NULL": (0, 1, 0), "DROP_NOT_NULL": (0, 1, 0), "MODIFY_COLUMN": (0, 1, 2), "RENAME_COLUMN": (0, 1, 2),
           "ADD_CONSTRAINT": (0, 1, 0), "DROP_CONSTRAINT": (0, 1, 0), "ADD_COLUMN": (0, 1, 2), "DROP_COLUMN": (0, 1, 0), "RENAME_TABLE": (0, 0, 1), "ALTER_TABLE": (0, 0, 0)}
 SQL_LITERAL = r'"((?i:SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP)\b[^"]*)"'
+#: The six call forms, either quote; the path is group 2.
+CALL = r"""(?i)(?:fetch|(?:axios|fetch|http|requests)\.\w+|RestTemplate\.(?:get|post)For(?:Object|Entity)|@(?:Get|Post|Put|Delete|Patch)Mapping)\s*\((["'])(/(?:(?!\1).)*)\1"""
 QUERY_TABLE = r"(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+(\w+)"
 # ---
 
@@ -166,6 +168,6 @@ def contract_score(changes: DataFrame, consumers: DataFrame) -> DataFrame:
 
 def call_sites(files: DataFrame) -> DataFrame:
     """Every call of an API path in the lines of every file."""
-    lines = F.transform(F.split("content", "\n"), lambda s, i: F.struct((i + 1).alias("line"), F.regexp_extract_all(s, F.lit(r'(?:axios|fetch|http)\.\w+\("(/[^"]*)"'), F.lit(1)).alias("paths")))
+    lines = F.transform(F.split("content", "\n"), lambda s, i: F.struct((i + 1).alias("line"), F.regexp_extract_all(s, F.lit(CALL), F.lit(2)).alias("paths")))
     hits = files.select("repo", F.col("path").alias("file"), F.inline(F.filter(lines, lambda x: F.size(x["paths"]) > 0)))
     return hits.select("repo", "file", "line", F.explode("paths").alias("path"))

@@ -5,7 +5,7 @@ from decimal import Decimal
 
 import pytest
 
-from rippleset.operators import transactions as tx
+from rippleset.operators import schema_change as sc, transactions as tx
 from rippleset.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +62,11 @@ def test_report_bound(spark):
     txns = spark.createDataFrame([(k, datetime(2024, 1, 1)) for k in range(3)], "customer_id int, ts timestamp")
     risks = spark.createDataFrame([(0, Decimal("0.50")), (1, Decimal("0.85")), (2, Decimal("0.86"))], "customer_id int, score decimal(4,2)")
     assert tx.daily_fraud_report(txns, risks).first()["high_risk"] == 1
+
+
+def test_call_forms(spark):
+    lines = ['fetch("/a")', "await fetch ( '/x')", "fetch  ('/b', { method: 'PUT' })", "axios.Post('/c')", 'http.get ("/d")', 'requests.delete("/e", x)', 'restTemplate.getForObject("/f", A.class)', "RestTemplate.postForEntity('/g')", '@PostMapping("/h")', "@getmapping('/i')",
+             'axios.get("/j"); fetch("/k")', 'log("/no")', 'axios.get("no")', "axios.get('/no\")"]
+    files = spark.createDataFrame([("r", "f", "\n".join(lines))], "repo string, path string, content string")
+    got = sorted((r["line"], r["path"]) for r in sc.call_sites(files).collect())
+    assert got == [(1, "/a"), *((n, f"/{c}") for n, c in zip(range(3, 12), "bcdefghij", strict=True)), (11, "/k")]
