@@ -37,6 +37,10 @@ CLASSES = (
 PLACES = {"DROP_TABLE": (1, 0, 0), "ADD_INDEX": (2, 1, 0), "DROP_INDEX": (2, 1, 0), "SET_DEFAULT": (0, 1, 2), "DROP_DEFAULT": (0, 1, 0), "SET_NOT_NULL": (0, 1, 0), "DROP_NOT_NULL": (0, 1, 0), "MODIFY_COLUMN": (0, 1, 2), "RENAME_COLUMN": (0, 1, 2),
           "ADD_CONSTRAINT": (0, 1, 0), "DROP_CONSTRAINT": (0, 1, 0), "ADD_COLUMN": (0, 1, 2), "DROP_COLUMN": (0, 1, 0), "RENAME_TABLE": (0, 0, 1), "ALTER_TABLE": (0, 0, 0)}
 SQL_LITERAL = r'"((?i:SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP)\b[^"]*)"'
+#: What lies before a quoted statement, its quote, and the statement: within one line, or over several lines.
+_STATEMENT = r"(?i:SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP)\b"
+SQL_LINE = rf"""(?s)(.*?)(["'])({_STATEMENT}[^\n]*?)\2"""
+SQL_LINES = rf"""(?s)(.*?)("{{3}}(?=\s*{_STATEMENT})|'{{3}}(?=\s*{_STATEMENT})|["'](?={_STATEMENT}))(.*?)\2"""
 #: The six call forms, either quote; the path is group 2.
 CALL = r"""(?i)(?:fetch|(?:axios|fetch|http|requests)\.\w+|RestTemplate\.(?:get|post)For(?:Object|Entity)|@(?:Get|Post|Put|Delete|Patch)Mapping)\s*\((["'])(/(?:(?!\1).)*)\1"""
 QUERY_TABLE = r"(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+(\w+)"
@@ -65,11 +69,21 @@ def database_type(name: Column) -> Column:
     return F.when(F.lower(name).like("mongodb%"), "mongodb").otherwise("postgresql")
 
 
+def _quoted(content: Column, pattern: str) -> Column:
+    """``line`` (where it begins) and ``query`` of every statement."""
+    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    found = F.arrays_zip(F.regexp_extract_all(content, F.lit(pattern), F.lit(1)).alias("gap"), F.regexp_extract_all(content, F.lit(pattern), F.lit(3)).alias("query"))
+    start = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<line: int, query: string>>)").alias("out"))
+    step = lambda done, x: F.struct(
+        (done["at"] + breaks(x["gap"]) + breaks(x["query"])).alias("at"), F.concat(done["out"], F.array(F.struct((done["at"] + breaks(x["gap"])).alias("line"), x["query"].alias("query")))).alias("out"))
+    return F.aggregate(found, start, step)["out"]
+
+
 def usages(files: DataFrame) -> DataFrame:
-    """``repo, path, line, query_type, table_name, query`` of every table in a quoted statement of every line."""
-    lines = F.transform(F.split("content", "\n"), lambda s, i: F.struct((i + 1).alias("line"), F.regexp_extract_all(s, F.lit(SQL_LITERAL), F.lit(1)).alias("queries")))
-    hits = files.select("repo", "path", F.inline(F.filter(lines, lambda x: F.size(x["queries"]) > 0)))
-    queries = hits.select("repo", "path", "line", F.explode("queries").alias("query"))
+    """``repo, path, line, query_type, table_name, query`` of every table in a quoted statement, within a line or over several."""
+    lines = F.filter(_quoted(F.col("content"), SQL_LINES), lambda x: F.contains(x["query"], F.lit("\n")))
+    every = F.concat(_quoted(F.col("content"), SQL_LINE), lines)
+    queries = files.select("repo", "path", F.inline(every))
     found = F.array_distinct(F.transform(F.regexp_extract_all("query", F.lit(QUERY_TABLE), F.lit(1)), F.lower))
     return queries.select("repo", "path", "line", query_type(F.col("query")).alias("query_type"), F.explode(found).alias("table_name"), "query")
 

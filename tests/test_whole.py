@@ -70,3 +70,24 @@ def test_call_forms(spark):
     files = spark.createDataFrame([("r", "f", "\n".join(lines))], "repo string, path string, content string")
     got = sorted((r["line"], r["path"]) for r in sc.call_sites(files).collect())
     assert got == [(1, "/a"), *((n, f"/{c}") for n, c in zip(range(3, 12), "bcdefghij", strict=True)), (11, "/k")]
+
+
+def test_usage_forms(spark):
+    content = """x = 1
+a = "SELECT b FROM one"; b = 'delete from two'
+c = \'\'\'
+  SELECT *
+  FROM three JOIN four
+\'\'\'
+say "select all
+d = "UPDATE five SET x = 'DELETE it'"
+e = \"\"\"INSERT INTO six
+VALUES ("q")\"\"\"
+f = 'SELECT a
+  FROM seven'
+g = \"\"\"SELECT a FROM eight\"\"\"
+"""
+    files = spark.createDataFrame([("r", "f", content), ("r", "g", None), ("r", "h", ""), ("r", "i", "'SELECT " + "x, " * 200_000 + "y FROM long'")], "repo string, path string, content string")
+    got = sorted((r["path"], r["line"], r["query_type"], r["table_name"]) for r in sc.usages(files).collect())
+    assert ("i", 1, "SELECT", "long") in got
+    assert [x[1:] for x in got if x[0] == "f"] == [(2, "DELETE", "two"), (2, "SELECT", "one"), (3, "SELECT", "four"), (3, "SELECT", "three"), (8, "UPDATE", "five"), (9, "INSERT", "six"), (11, "SELECT", "seven"), (13, "SELECT", "eight")]
