@@ -410,10 +410,15 @@ def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """``df`` with one document of each class: the one of the smallest id, once. Rows with a null id stay."""
+    """``df`` with one document of each class: the one of the smallest id, and one row of it for each text. Rows with a null id stay."""
     classes = near_classes(df, id_col=id_col, text_col=text_col, **params)
     gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    kept = df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    # Repeated rows: only those of ids that come again are shuffled with their texts.
+    again = kept.groupBy(F.col(id_col).alias("_again")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1 and _again is not null").select("_again")
+    again = written(again, "repeated-ids")
+    repeated = kept.join(again, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, F.col(id_col) == F.col("_again"), "left_anti").unionByName(repeated)
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -162,6 +162,13 @@ def test_ngram_links(spark, monkeypatch, block):
     assert len(got) == len(given) + 1 and all(r["n_links"] == want.get(r["doc_id"], 0) for r in got)
 
 
+def test_one_row_of_each(spark):
+    text = "a b c d e f g h"
+    given = [(1, text), (1, text), (1, text), (2, text), (3, "q r s"), (3, "t u v"), (3, "t u v"), (None, text), (None, text), (4, None), (4, None)]
+    got = ngram_join.one_of_each(docs(spark, given)).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == sorted((str(i), str(t)) for i, t in ((1, text), (3, "q r s"), (3, "t u v"), (None, text), (None, text), (4, None)))
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.near_classes(docs(spark, [])).count() == 0
 
