@@ -124,7 +124,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     draw = F.xxhash64(F.col("_id").cast("string"))
     toxic = known.where("_label > 0").select("_id")
     positive = toxic.orderBy(draw, "_id").limit(max_positive).withColumn("positive", F.lit(True))
+    # The known toxic texts are left out of the unlabelled ones, so the prior of these is the share of toxic ones in what is left.
+    ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
     others = docs.select(F.col(id_col).alias("_id")).where("_id is not null").join(toxic, "_id", "left_anti")
+    left = ids.join(known, "_id", "left").agg(F.sum(F.col("_label").isNull().cast("long")).alias("unknown"), F.sum((F.coalesce("_label", F.lit(0)) <= 0).cast("long")).alias("rest")).first()
+    prior = prior * (left["unknown"] or 0) / left["rest"] if left["rest"] else 0.0
     unlabelled = others.orderBy(draw, "_id").limit(max_unlabelled).withColumn("positive", F.lit(False))
     drawn = positive.unionByName(unlabelled)  # at most max_positive + max_unlabelled ids, so it is broadcast
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(drawn), "_id")

@@ -271,6 +271,13 @@ def test_toxicity_held_out(spark):
     assert sum(toxic) >= 0.75 * len(toxic) and sum(clean) <= 0.1 * len(clean)
 
 
+def test_toxicity_keeps_clean(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    out = queries.QUERIES["op2_toxicity"](spark, sf_dir).where("held_out").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
+    toxic, clean = ([r["predicted"] for r in out if r["toxic"] == kind] for kind in (1, 0))
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
 def test_word_hashes(monkeypatch):
     """Words split at ASCII white space only and letters A-Z in either case are alike, whatever the blocks."""
     from rippleset.llm import ngram_join as nj
