@@ -12,6 +12,7 @@ from rippleset.llm.decontaminate import op7_decontaminate
 from rippleset.llm.license_scan import OP5_SQL, op5_license_scan
 from rippleset.llm.ngram_join import op9_ngram_join
 from rippleset.llm.piece_tokens import op3_sentencepiece
+from rippleset.llm.rtree_negatives import OP13_SQL, op13_hard_negatives
 from rippleset.llm.secret_scan import op10_secret_scan
 from rippleset.llm.suffix_dedup import op1_suffix_dedup
 from rippleset.llm.token_counts import op6_token_counts
@@ -29,7 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_ngram_join": op9_ngram_join,
     "op10_secret_scan": op10_secret_scan,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op4_voronoi_topk": OP4_SQL, "op5_license_scan": OP5_SQL, "op8_chat_format": OP8_SQL}
+ORACLES: dict[str, str] = {"op4_voronoi_topk": OP4_SQL, "op5_license_scan": OP5_SQL, "op8_chat_format": OP8_SQL, "op13_hard_negatives": OP13_SQL}
