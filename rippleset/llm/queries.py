@@ -14,6 +14,7 @@ from rippleset.llm.ngram_join import op9_ngram_join
 from rippleset.llm.piece_tokens import op3_sentencepiece
 from rippleset.llm.rtree_negatives import OP13_SQL, op13_hard_negatives
 from rippleset.llm.secret_scan import op10_secret_scan
+from rippleset.llm.spelling_groups import op12_spelling_groups
 from rippleset.llm.suffix_dedup import op1_suffix_dedup
 from rippleset.llm.token_counts import op6_token_counts
 from rippleset.llm.toxicity import op2_toxicity
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_ngram_join": op9_ngram_join,
     "op10_secret_scan": op10_secret_scan,
+    "op12_spelling_groups": op12_spelling_groups,
     "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
