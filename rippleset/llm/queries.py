@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from rippleset.llm.chat_format import OP8_SQL, op8_chat_format
 from rippleset.llm.decontaminate import op7_decontaminate
+from rippleset.llm.html_blocks import op11_html_blocks
 from rippleset.llm.license_scan import OP5_SQL, op5_license_scan
 from rippleset.llm.ngram_join import op9_ngram_join
 from rippleset.llm.piece_tokens import op3_sentencepiece
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_ngram_join": op9_ngram_join,
     "op10_secret_scan": op10_secret_scan,
+    "op11_html_blocks": op11_html_blocks,
     "op12_spelling_groups": op12_spelling_groups,
     "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
