@@ -244,4 +244,5 @@ def remove_repeats(df: DataFrame, length: int = 400, gram: int = 100, id_col: st
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """What stays of every document without its 400-byte strings that start anywhere else too."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (removed > 0).alias("removed"))
