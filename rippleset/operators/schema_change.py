@@ -37,31 +37,62 @@ CLASSES = (
 PLACES = {"DROP_TABLE": (1, 0, 0), "ADD_INDEX": (2, 1, 0), "DROP_INDEX": (2, 1, 0), "SET_DEFAULT": (0, 1, 2), "DROP_DEFAULT": (0, 1, 0), "SET_NOT_NULL": (0, 1, 0), "DROP_NOT_NULL": (0, 1, 0), "MODIFY_COLUMN": (0, 1, 2), "RENAME_COLUMN": (0, 1, 2),
           "ADD_CONSTRAINT": (0, 1, 0), "DROP_CONSTRAINT": (0, 1, 0), "ADD_COLUMN": (0, 1, 2), "DROP_COLUMN": (0, 1, 0), "RENAME_TABLE": (0, 0, 1), "ALTER_TABLE": (0, 0, 0)}
 SQL_LITERAL = r'"((?i:SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP)\b[^"]*)"'
-#: What lies before a quoted statement, its quote, and the statement: within one line, or over several lines.
 _STATEMENT = r"(?i:SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP)\b"
-SQL_LINE = rf"""(?s)(.*?)(["'])({_STATEMENT}[^\n]*?)\2"""
-SQL_LINES = rf"""(?s)(.*?)("{{3}}(?=\s*{_STATEMENT})|'{{3}}(?=\s*{_STATEMENT})|["'](?={_STATEMENT}))(.*?)\2"""
+#: A quote that may open a statement (three quotes also at a line's end), and a statement from its mark to the same quote: on a line, or anywhere.
+OPENING = rf"""(?:"{{3}}|'{{3}})(?=\s*(?:{_STATEMENT}|$))|["'](?={_STATEMENT})"""
+LINE_LITERAL = rf"""\x01(\d+)\x02("{{3}}|'{{3}}|["'])({_STATEMENT}(?:(?!\2)[^\n])*+)\2"""
+LITERAL = rf"""(?s)\x01(\d+)\x02("{{3}}|'{{3}}|["'])(\s*{_STATEMENT}(?:(?!\2).)*+)\2"""
 #: The six call forms, either quote; the path is group 2.
 CALL = r"""(?i)(?:fetch|(?:axios|fetch|http|requests)\.\w+|RestTemplate\.(?:get|post)For(?:Object|Entity)|@(?:Get|Post|Put|Delete|Patch)Mapping)\s*\((["'])(/(?:(?!\1).)*)\1"""
-QUERY_TABLE = r"(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+(\w+)"
+QUERY_TABLE = r"""(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+(?:[`"\\]*\w+[`"\\]*\.)*[`"\\]*(\w+)"""
+#: A FROM that names no table.
+NO_SOURCE = r"(?i)\b(?:EXTRACT|TRIM|SUBSTRING|OVERLAY|POSITION)\s*\([^()]*\)|\bIS\s+(?:NOT\s+)?DISTINCT\s+FROM\b"
+#: What an ADD names when it adds no column, and the kind of a constraint.
+ADDED_KEY = r"\bADD\s+(?:PRIMARY|FOREIGN|UNIQUE|CHECK|CONSTRAINT|EXCLUDE)\b"
+ADDED_INDEX = r"\bADD\s+(?:UNIQUE\s+)?(?:FULLTEXT\s+|SPATIAL\s+)?(?:INDEX|KEY)\s+"
+DROPPED_INDEX = r"\bDROP\s+(?:INDEX|KEY)\s+"
+INDEX_NAME = rf"\b(?:ADD\s+(?:UNIQUE\s+|FULLTEXT\s+|SPATIAL\s+)?|DROP\s+)(?:INDEX|KEY)\s+{NAME}"
+DROPPED_KEY = r"\bDROP\s+(?:PRIMARY\s+KEY|FOREIGN\s+KEY|CHECK)\b"
+KINDS = ("PRIMARY KEY", "FOREIGN KEY", "UNIQUE", "CHECK")
 # ---
 
 
 def classify(changes: DataFrame, statement: str = "statement") -> DataFrame:
-    """``changes`` with ``change_type`` (null: not a change), ``table_name``, ``column_name``, ``new_value``, in capitals."""
-    text = F.upper(F.trim(F.col(statement)))
+    """``changes`` with ``change_type`` (null: not a change), ``table_name``, ``column_name``, ``new_value``, ``old_value``, in capitals.
+
+    Words inside quotes don't count. All but indexes and whole tables are changed by ALTER TABLE only. Keys and checks that are added or dropped
+    without a name are constraints; an added constraint's ``constraint_kind`` is told.
+    """
+    # Each found once a row: what a generator gives out is not copied into the filters and parts that use it.
+    once = lambda x, name: F.explode(F.array(x)).alias(name)
+    given = F.upper(F.regexp_replace(F.trim(F.col(statement)), r"\s*\.\.\.$", ""))
+    prepared = changes.select("*", once(given, "_ddl_text")).select("*", once(F.regexp_replace("_ddl_text", "'[^']*'", "''"), "_ddl_bare"))
+    text, bare = F.col("_ddl_text"), F.col("_ddl_bare")
+    alters = bare.rlike(r"^ALTER\s+TABLE\b")
+    guards = {
+        "ADD_INDEX": lambda test: test | (alters & bare.rlike(ADDED_INDEX)), "DROP_TABLE": lambda test: test, "DROP_INDEX": lambda test: test | (alters & bare.rlike(DROPPED_INDEX)), "ALTER_TABLE": lambda test: test,
+        "ADD_CONSTRAINT": lambda test: alters & (test | bare.rlike(ADDED_KEY)), "DROP_CONSTRAINT": lambda test: alters & (test | bare.rlike(DROPPED_KEY))}
     kind = None
     for name, pattern in CLASSES:
-        kind = F.when(text.rlike(pattern), name) if kind is None else kind.when(text.rlike(pattern), name)
-    typed = changes.withColumn("change_type", kind)  # found once; the parts below try one pattern a row
+        test = guards.get(name, lambda test: alters & test)(bare.rlike(pattern))
+        kind = F.when(test, name) if kind is None else kind.when(test, name)
+    typed = prepared.select("*", once(kind, "change_type"))  # the parts below try one pattern a row
     table = column = value = F.when(F.lit(False), F.lit(None).cast("string"))
+    altered = F.nullif(F.regexp_extract(text, ALTERED, 1), F.lit(""))
     for name, pattern in CLASSES:
         at, col, val = PLACES[name]
         is_it, group = F.col("change_type") == name, lambda k, p=pattern: F.nullif(F.regexp_extract(text, p, k), F.lit(""))
-        table = table.when(is_it, F.coalesce(group(at) if at else F.nullif(F.regexp_extract(text, ALTERED, 1), F.lit("")), F.lit("UNKNOWN")))
+        table = table.when(is_it, F.coalesce(F.coalesce(group(at), altered) if at else altered, F.lit("UNKNOWN")))
         column = column.when(is_it, group(col)) if col else column
         value = value.when(is_it, F.trim(group(val))) if val else value
-    return typed.select("*", table.alias("table_name"), column.alias("column_name"), value.alias("new_value"))
+    index = F.col("change_type").isin("ADD_INDEX", "DROP_INDEX") & alters
+    column = F.when(index, F.nullif(F.regexp_extract(text, INDEX_NAME, 1), F.lit(""))).otherwise(column)
+    added = F.col("change_type") == "ADD_CONSTRAINT"
+    constraint = F.lit("CONSTRAINT")
+    for name in reversed(KINDS):
+        constraint = F.when(F.contains(bare, F.lit(name)), F.replace(F.lit(name), F.lit(" "), F.lit("_"))).otherwise(constraint)
+    old = F.when(F.col("change_type") == "RENAME_COLUMN", column).when(F.col("change_type") == "RENAME_TABLE", table)
+    return typed.select(*changes.columns, "change_type", table.alias("table_name"), column.alias("column_name"), value.alias("new_value"), old.alias("old_value"), F.when(added, constraint).alias("constraint_kind"))
 
 
 def database_type(name: Column) -> Column:
@@ -69,22 +100,28 @@ def database_type(name: Column) -> Column:
     return F.when(F.lower(name).like("mongodb%"), "mongodb").otherwise("postgresql")
 
 
-def _quoted(content: Column, pattern: str) -> Column:
-    """``line`` (where it begins) and ``query`` of every statement."""
-    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    found = F.arrays_zip(F.regexp_extract_all(content, F.lit(pattern), F.lit(1)).alias("gap"), F.regexp_extract_all(content, F.lit(pattern), F.lit(3)).alias("query"))
-    start = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<line: int, query: string>>)").alias("out"))
-    step = lambda done, x: F.struct(
-        (done["at"] + breaks(x["gap"]) + breaks(x["query"])).alias("at"), F.concat(done["out"], F.array(F.struct((done["at"] + breaks(x["gap"])).alias("line"), x["query"].alias("query")))).alias("out"))
-    return F.aggregate(found, start, step)["out"]
+def _statements(content: Column) -> Column:
+    """``line`` (where it begins) and ``query`` of every quoted statement, within a line or over several.
+
+    Quotes that may open a statement are marked with the number of their line; then each statement is taken from its mark to the same quote,
+    first those that end on their line, then those over several.
+    """
+    clean = F.translate(content, "\x01\x02", "  ")
+    mark = lambda s, i: F.regexp_replace(s, F.lit(OPENING), F.concat(F.lit("\x01"), (i + 1).cast("string"), F.lit("\x02$0")))
+    marked = F.array_join(F.transform(F.split(clean, "\n"), mark), "\n")
+
+    def read(pattern: str) -> Column:
+        one = lambda x: F.struct(F.regexp_extract(x, r"^\x01(\d+)", 1).cast("int").alias("line"), F.regexp_replace(F.regexp_extract(x, pattern, 3), r"\x01\d+\x02", "").alias("query"))
+        return F.transform(F.regexp_extract_all(marked, F.lit(pattern), F.lit(0)), one)
+
+    several = F.filter(read(LITERAL), lambda x: F.contains(x["query"], F.lit("\n")))
+    return F.when(content.rlike(rf"""["']\s*{_STATEMENT}"""), F.concat(read(LINE_LITERAL), several))
 
 
 def usages(files: DataFrame) -> DataFrame:
     """``repo, path, line, query_type, table_name, query`` of every table in a quoted statement, within a line or over several."""
-    lines = F.filter(_quoted(F.col("content"), SQL_LINES), lambda x: F.contains(x["query"], F.lit("\n")))
-    every = F.concat(_quoted(F.col("content"), SQL_LINE), lines)
-    queries = files.select("repo", "path", F.inline(every))
-    found = F.array_distinct(F.transform(F.regexp_extract_all("query", F.lit(QUERY_TABLE), F.lit(1)), F.lower))
+    queries = files.select("repo", "path", F.inline(_statements(F.col("content"))))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(F.regexp_replace("query", NO_SOURCE, " "), F.lit(QUERY_TABLE), F.lit(1)), F.lower))
     return queries.select("repo", "path", "line", query_type(F.col("query")).alias("query_type"), F.explode(found).alias("table_name"), "query")
 
 
@@ -162,11 +199,17 @@ def file_criticality(path: Column, config: ScoringConfig | None = None) -> Colum
 
 
 def contract_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Each endpoint's change: REMOVED and changed types or more required parameters break, fewer modify, new ones add."""
-    a, b = before.alias("a"), after.alias("b")
+    """Each endpoint's change: removed ones, other types or more required parameters break, fewer modify, new ones add.
+
+    A missing return type says nothing. Of repeated endpoints the last one counts, by ``line`` if there is one. ``diff_contracts`` compares
+    parameters by name and finds moved paths.
+    """
+    place = lambda df: F.col("line") if "line" in df.columns else F.struct("return_type", "required_params")
+    last = lambda df: df.groupBy("method", "path").agg(F.max_by(F.struct("change_set", "return_type", "required_params"), place(df)).alias("of"))
+    a, b = last(before).withColumnRenamed("of", "a"), last(after).withColumnRenamed("of", "b")
     joined = a.join(b, ["method", "path"], "full")
     kind = (
-        F.when(F.col("b.return_type").isNull(), "BREAKING").when(F.col("a.return_type").isNull(), "ADDED").when(F.col("a.return_type") != F.col("b.return_type"), "BREAKING")
+        F.when(F.col("b").isNull(), "BREAKING").when(F.col("a").isNull(), "ADDED").when(F.col("a.return_type") != F.col("b.return_type"), "BREAKING")
         .when(F.col("b.required_params") > F.col("a.required_params"), "BREAKING").when(F.col("b.required_params") < F.col("a.required_params"), "MODIFIED"))
     return joined.select("method", "path", F.coalesce("a.change_set", "b.change_set").alias("change_set"), kind.alias("change")).where("change is not null")
 

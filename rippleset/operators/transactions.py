@@ -159,12 +159,16 @@ def daily_fraud_report(txns: DataFrame, risks: DataFrame, high_risk: str | None
 
 
 def fees(payments: DataFrame) -> DataFrame:
-    """Fee of each payment by type and tier, halved for premium customers, raised in office hours for large amounts."""
+    """Fee of each payment by type and tier, halved for premium customers, raised in office hours for large amounts.
+
+    Office hours lie strictly between 08:00 and 17:00: of ``second_of_day`` where payments have it, else of the whole ``hour``.
+    """
+    second = F.col("second_of_day") if "second_of_day" in payments.columns else F.col("hour") * 3600
     x = F.col("amount")
     tier = F.when(x < 1000, D(5)).when(x < 5000, D(10)).when(x < 10000, D(25)).otherwise(D(45))
     abroad = F.least(F.greatest(x * D("0.03"), D(35)), D(250))
     base = F.when(F.col("type") == "DOMESTIC", tier).when(F.col("type") == "INTERNATIONAL", abroad).when(F.col("type") == "ACH", D(2)).when(F.col("type") == "WIRE", D(30)).otherwise(D(0)).cast("decimal(18,4)")
-    fee = base * F.when(F.col("premium"), D("0.5")).otherwise(D("1.0")) * F.when((F.col("hour") > 8) & (F.col("hour") < 17) & (x > 50000), D("1.1")).otherwise(D("1.0"))
+    fee = base * F.when(F.col("premium"), D("0.5")).otherwise(D("1.0")) * F.when((second > 8 * 3600) & (second < 17 * 3600) & (x > 50000), D("1.1")).otherwise(D("1.0"))
     return payments.select("payment_id", "type", F.round(fee, 2).cast("decimal(18,2)").alias("fee"))
 
 

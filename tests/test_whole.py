@@ -91,3 +91,65 @@ g = \"\"\"SELECT a FROM eight\"\"\"
     got = sorted((r["path"], r["line"], r["query_type"], r["table_name"]) for r in sc.usages(files).collect())
     assert ("i", 1, "SELECT", "long") in got
     assert [x[1:] for x in got if x[0] == "f"] == [(2, "DELETE", "two"), (2, "SELECT", "one"), (3, "SELECT", "four"), (3, "SELECT", "three"), (8, "UPDATE", "five"), (9, "INSERT", "six"), (11, "SELECT", "seven"), (13, "SELECT", "eight")]
+
+
+@pytest.mark.parametrize(
+    ("statement", "kind", "table", "column", "new", "old", "constraint"),
+    [
+        ("DROP VIEW v", None, None, None, None, None, None), ("DROP FUNCTION f", None, None, None, None, None, None), (None, None, None, None, None, None, None), ("", None, None, None, None, None, None),
+        ("INSERT INTO log VALUES ('RENAME TO x')", None, None, None, None, None, None), ("UPDATE t SET a = 'ALTER TABLE t ADD COLUMN c'", None, None, None, None, None, None),
+        ("ALTER TABLE t ADD PRIMARY KEY (id)", "ADD_CONSTRAINT", "T", None, None, None, "PRIMARY_KEY"), ("ALTER TABLE t ADD FOREIGN KEY (a) REFERENCES b(c)", "ADD_CONSTRAINT", "T", None, None, None, "FOREIGN_KEY"),
+        ("ALTER TABLE t ADD CONSTRAINT k CHECK (a > 1)", "ADD_CONSTRAINT", "T", "K", None, None, "CHECK"), ("ALTER TABLE t ADD CONSTRAINT k", "ADD_CONSTRAINT", "T", "K", None, None, "CONSTRAINT"),
+        ("ALTER TABLE t DROP PRIMARY KEY", "DROP_CONSTRAINT", "T", None, None, None, None), ("ALTER TABLE t ADD UNIQUE INDEX ix (a)", "ADD_INDEX", "T", "IX", None, None, None),
+        ("ALTER TABLE t DROP INDEX ix", "DROP_INDEX", "T", "IX", None, None, None), ("drop index ix on s.t", "DROP_INDEX", "T", "IX", None, None, None),
+        ("ALTER TABLE `s`.`t` RENAME COLUMN `a` TO b", "RENAME_COLUMN", "T", "A", "B", "A", None), ("ALTER TABLE t RENAME TO u", "RENAME_TABLE", "T", None, "U", "T", None),
+        ("ALTER TABLE t ADD COLUMN c TEXT DEFAULT 'x RENAME TO y' ...", "ADD_COLUMN", "T", "C", "TEXT", None, None), ("ALTER TABLE public.t ...", "ALTER_TABLE", "T", None, None, None, None),
+    ],
+)
+def test_classes(spark, statement, kind, table, column, new, old, constraint):
+    row = sc.classify(spark.createDataFrame([(statement, "kept")], "statement string, _text string")).first()
+    if kind is None:
+        assert row["change_type"] is None
+    else:
+        assert (row["change_type"], row["table_name"], row["column_name"], row["new_value"], row["old_value"], row["constraint_kind"], row["_text"]) == (kind, table, column, new, old, constraint, "kept")
+
+
+def test_statements_in_code(spark):
+    text = '''String a = "SELECT x FROM public.accounts JOIN `visits` v ON 1 = 1";
+b = 'UPDATE "rows" SET a = 1'
+c = """
+   DELETE FROM notes
+   WHERE day = EXTRACT(DAY FROM ts)
+"""
+String d = "SELECT 'DELETE me' FROM inner_quotes";
+String e = "INSERT INTO two
+   VALUES (1)";
+not = "from here"; open = "SELECT y FROM unclosed
+'''
+    found = sc.usages(spark.createDataFrame([("r", "a", text), ("r", "b", None), ("r", "c", "")], "repo string, path string, content string")).collect()
+    assert sorted((r["line"], r["query_type"], r["table_name"]) for r in found) == [(1, "SELECT", "accounts"), (1, "SELECT", "visits"), (2, "UPDATE", "rows"), (3, "DELETE", "notes"), (7, "SELECT", "inner_quotes"), (8, "INSERT", "two")]
+
+
+def test_statements_in_linear_time(spark):
+    """Files of 1 MB, without a statement and full of quotes that open none, are read in seconds."""
+    import time
+
+    big = [("r", "a", "int x = 1;\n" * 90_000), ("r", "b", 'f("a", \'b\', """);\n' * 50_000 + '"SELECT 1 FROM t"'), ("r", "c", '"SELECT \n' * 100_000)]
+    df = spark.createDataFrame(big, "repo string, path string, content string")
+    began = time.time()
+    assert {r["path"] for r in sc.usages(df).select("path", "table_name").collect()} <= {"a", "b", "c"}
+    assert time.time() - began < 60
+
+
+def test_unchanged_contract(spark):
+    """No return type on either side is no change, and the last of repeated endpoints counts."""
+    schema = "change_set string, method string, path string, return_type string, required_params int, line int"
+    before = spark.createDataFrame([("s", "GET", "/a", None, 0, 1), ("s", "GET", "/b", "X", 1, 1), ("s", "GET", "/b", "X", 2, 2), ("s", "GET", "/c", "X", 0, 1)], schema)
+    after = spark.createDataFrame([("s", "GET", "/a", None, 0, 1), ("s", "GET", "/b", "X", 2, 7), ("s", "GET", "/b", "X", 0, 3), ("s", "GET", "/d", None, 0, 1)], schema)
+    assert sorted(tuple(r) for r in sc.contract_diff(before, after).collect()) == [("GET", "/c", "s", "BREAKING"), ("GET", "/d", "s", "ADDED")]
+
+
+def test_office_hours(spark):
+    rows = [(1, 8 * 3600), (2, 8 * 3600 + 60), (3, 17 * 3600 - 1), (4, 17 * 3600)]
+    payments = spark.createDataFrame([(i, "WIRE", Decimal(60000), False, s // 3600, s) for i, s in rows], "payment_id int, type string, amount decimal(18,2), premium boolean, hour int, second_of_day int")
+    assert {r["payment_id"]: float(r["fee"]) for r in tx.fees(payments).collect()} == {1: 30.0, 2: 33.0, 3: 33.0, 4: 30.0}
