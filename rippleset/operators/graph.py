@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippleset.config import DIRECT_TYPES
@@ -44,3 +44,28 @@ def table_neighbours(foreign_keys: DataFrame) -> DataFrame:
     """Tables one reference away from each table, out and in."""
     ends = F.array(F.struct(F.col("source_table").alias("table_name"), F.col("target_table").alias("neighbour"), F.lit("out").alias("direction")), F.struct(F.col("target_table").alias("table_name"), F.col("source_table").alias("neighbour"), F.lit("in").alias("direction")))
     return foreign_keys.select(F.inline(ends)).distinct()
+
+
+def paths(edges: DataFrame, starts: DataFrame, depth: int = 3, back: bool = False) -> DataFrame:
+    """``start, node, distance, rel_types, nodes`` of every path of 1 to ``depth`` edges from the given starts that ends elsewhere.
+
+    A path uses an edge once at most; edges are told apart by both ends and type. ``back`` follows them against their direction. The number of
+    paths grows with the degree to the power of the depth; ``reachable`` gives the nodes alone.
+    """
+    step = edges.select("src", "rel_type", "dst").distinct().withColumn("edge", F.struct("src", "rel_type", "dst"))
+    near, far = ("dst", "src") if back else ("src", "dst")
+    front = starts.select(F.col("node").alias("start"), F.col("node"), F.array(F.col("node")).alias("nodes")).distinct()
+    front = front.withColumn("used", F.expr(f"cast(array() as array<{step.schema['edge'].dataType.simpleString()}>)"))
+    out = None
+    for distance in range(1, depth + 1):
+        met = front.join(step, front["node"] == step[near]).where(~F.array_contains("used", F.col("edge")))
+        front = met.select("start", F.col(far).alias("node"), F.concat("nodes", F.array(F.col(far))).alias("nodes"), F.concat("used", F.array("edge")).alias("used"))
+        found = front.where("start <> node").select("start", "node", F.lit(distance).alias("distance"), F.transform("used", lambda e: e["rel_type"]).alias("rel_types"), "nodes")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def nearest_paths(found: DataFrame, most: int = 100) -> DataFrame:
+    """The ``most`` nearest paths of each start, ties by their nodes and types."""
+    order = Window.partitionBy("start").orderBy("distance", "nodes", "rel_types")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
