@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rippleset.config import CustomerRiskConfig, DIRECT_TYPES, FraudConfig, ScoringConfig
 from rippleset.operators import code_change as cc, graph, schema_change as sc, transactions as tx
-from rippleset.plans import api_queries, ddl_queries, graph_queries, stream_queries, usage_queries, views as v
+from rippleset.plans import api_queries, ddl_queries, document_queries, graph_queries, stream_queries, usage_queries, views as v
 
 #: The driver's events are sparse and their amounts small, so the queries use lower bounds.
 FRAUD = FraudConfig(max_amount=60.0, unusual_factor=4.0, max_per_day=4, min_gap_minutes=5)
@@ -228,6 +228,6 @@ ORACLES: dict[str, str] = {
     "reversals": f"SELECT request_id, payment_id, (amount + fee)::DECIMAL(18,2) AS refund, CASE WHEN amount IS NULL THEN 'FAILED' ELSE 'REVERSED' END AS status FROM ({v.sql(v.REVERSAL_REQUESTS)}) LEFT JOIN (SELECT payment_id, amount, fee FROM ({_P}) JOIN (SELECT payment_id, fee FROM ({_FEES})) USING (payment_id)) USING (payment_id)",
 }
 
-for _more in (api_queries, ddl_queries, graph_queries, stream_queries, usage_queries):
+for _more in (api_queries, ddl_queries, document_queries, graph_queries, stream_queries, usage_queries):
     QUERIES |= _more.QUERIES
     ORACLES |= _more.ORACLES
