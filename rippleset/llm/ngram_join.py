@@ -5,9 +5,10 @@ orders; only then are its sets compared. All orders put the counted frequent shi
 that orders the rest. The first order makes the candidates, the others are intersected with it before verification.
 
 A list of documents that share a prefix token is not expanded into pairs. Every list names a leader; its members are verified against
-it, which joins a group of near copies by a star. Then stars' centres (hubs) of one list are compared, and block by block the members of
-a star with each other and with those of a second star where the triangle inequality of the Jaccard distance leaves a link possible.
-All links are counted so, without a row for each; documents with equal sets count one another by the size of their group.
+it, which joins a group of near copies by a star. Then stars' centres (hubs) of one list are compared where their classes differ, and
+block by block the members of two stars whose classes still differ, where the triangle inequality of the Jaccard distance leaves a link
+possible. So every link between classes is found, and none is looked for within one. Counting all links (``count_links``) also
+compares the members within each star; documents with equal sets count one another by the size of their group.
 
 Cases: a null or wordless text has an empty set and links with nothing. Fewer words than a shingle are one token. Equal sets are linked
 without verification. Rows of one id are one document; rows with a null id link with nothing and get a null class.
@@ -30,7 +31,7 @@ from rippleset.llm.common import slices, table, written
 #: Different texts that make a shingle frequent, and the most frequent shingles that are known to all tasks (12 bytes each).
 FREQUENT, MAX_FREQUENT = 2, 1 << 21
 #: Ids up to which a list of documents is broadcast to the texts instead of shuffling these.
-FEW = 300_000
+FEW = 100_000
 #: Counted are the tokens that can come into a prefix: this share of a set, smallest hashes first.
 COUNTED = 0.4
 #: Bytes of text that are hashed at once.
@@ -340,8 +341,16 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int = 3, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, most: int = MAX_FREQUENT, few: int = FEW) -> DataFrame:
-    """``id_col`` (long), ``n_shingles``, ``component_id`` and ``n_links`` (other documents at ``percent`` or more) of every row."""
+def _classed(df: DataFrame, classes: DataFrame, column: str) -> DataFrame:
+    """``df`` with the ``class`` of the documents in a column; those without a link are a class of their own."""
+    return df.join(classes.select(F.col("id").alias(column), "class"), column, "left").withColumn("class", F.coalesce("class", column))
+
+
+def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int = 3, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, most: int = MAX_FREQUENT, few: int = FEW, count_links: bool = False) -> DataFrame:
+    """``id_col`` (long), ``n_shingles`` and ``component_id`` of every row; with ``count_links`` also ``n_links``, the other documents at ``percent`` or more.
+
+    The classes alone need no comparison within a class; counting all links does, and costs the square of a group of near copies.
+    """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("_text"))
 
@@ -370,9 +379,19 @@ def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int
     hubs = to_hub.groupBy("id").agg(F.min(F.struct("leader", "distance")).alias("h")).select("id", F.col("h.leader").alias("hub"), F.col("h.distance").alias("away"))
     placed = written(lists.select("token", "id").join(hubs, "id", "left").select("token", "id", F.coalesce("hub", "id").alias("hub"), F.coalesce("away", F.lit(0.0)).alias("away")), "placed")
 
-    # Between hubs that share a list.
+    # Between hubs that share a list. For the classes alone only hubs of different classes count; these are met class by class, so
+    # that a list of one class, however long, makes no pair.
     centres = placed.select("token", "hub").distinct()
-    between = centres.join(centres.select("token", F.col("hub").alias("hub2")), "token").where("hub < hub2").select(F.col("hub").alias("a"), F.col("hub2").alias("b")).distinct()
+    if count_links:
+        between = centres.join(centres.select("token", F.col("hub").alias("hub2")), "token").where("hub < hub2").select(F.col("hub").alias("a"), F.col("hub2").alias("b")).distinct()
+    else:
+        centres = written(_classed(centres, classes, "hub"), "centres")
+        mixed = centres.groupBy("token").agg(F.min("class").alias("c"), F.max("class").alias("d")).where("c <> d").select("token")
+        held = written(centres.join(mixed, "token", "left_semi"), "mixed")
+        of = held.select("token", "class").distinct()
+        met = of.join(of.select("token", F.col("class").alias("class2")), "token").where("class < class2")
+        pairs = met.join(held, ["token", "class"]).join(held.select("token", F.col("class").alias("class2"), F.col("hub").alias("hub2")), ["token", "class2"])
+        between = pairs.select(F.least("hub", "hub2").alias("a"), F.greatest("hub", "hub2").alias("b")).distinct()
     between = written(between, "hub-pairs")
     fresh = written(between.join(first.select("a", "b"), ["a", "b"], "left_anti"), "fresh-pairs")
     second = verified(docs, sizes, fresh, orders, size, percent, n_orders, few)
@@ -396,11 +415,18 @@ def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int
     alone = F.col("radius_a") + F.col("radius_b") == 0  # two stars of one set each: verified already
     least = 1 - percent / 100 + 1e-9
     across = reach.where(~alone & (F.col("distance") - F.col("radius_a") - F.col("radius_b") <= least)).select("a", "b", "blocks_a", "blocks_b")
-    work = across.union(star.where("rows > 1").select("hub", "hub", "blocks", "blocks"))
+    if count_links:
+        work = across.union(star.where("rows > 1").select("hub", "hub", "blocks", "blocks"))
+    else:  # what the hubs' own links have joined by now needs no further comparison
+        apart = _classed(_classed(across, classes, "a").withColumnRenamed("class", "of_a"), classes, "b").where("of_a <> class")
+        work = apart.select("a", "b", "blocks_a", "blocks_b")
     tally = link_tally(docs, members.join(star.select("hub", "blocks"), "hub"), work, size, percent, few)
 
     links = links.union(tally.where("n is null").select("a", "b"))
     classes = components(links)
+    if not count_links:
+        out = every.join(classes.withColumnRenamed("id", "set_id"), "set_id", "left")
+        return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("class", "set_id").alias("component_id"))
     sure = reach.where(alone & F.col("linked")).select("a", "b")
     sure = sure.union(sure.select("b", "a")).toDF("id", "set_id").join(copies, "set_id").select("id", F.col("copies").alias("n"))
     found = tally.where("n is not null").select(F.col("a").alias("id"), "n").union(sure).groupBy("id").agg(F.sum("n").alias("found"))
@@ -410,18 +436,23 @@ def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """``df`` with one document of each class: the one of the smallest id, and one row of it for each text. Rows with a null id stay."""
-    classes = near_classes(df, id_col=id_col, text_col=text_col, **params)
-    gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    kept = df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    # Repeated rows: only those of ids that come again are shuffled with their texts.
-    again = kept.groupBy(F.col(id_col).alias("_again")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1 and _again is not null").select("_again")
-    again = written(again, "repeated-ids")
-    repeated = kept.join(again, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(again, F.col(id_col) == F.col("_again"), "left_anti").unionByName(repeated)
+    """``df`` with one row of each class: of its smallest id, and of that id's texts the smallest. Rows with a null id stay.
+
+    Rows, not ids, are classed, so a text that shares its id with a copy of another document stays if it is like nothing. Of rows that
+    repeat id and text one stays, without words too.
+    """
+    keyed = written(df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"), F.monotonically_increasing_id().alias("key")), "keyed-rows")
+    given = keyed.select("key", F.col("row")[id_col].cast("long").alias("id"), F.col("row")[text_col].cast("string").alias("text"))
+    known = given.where("id is not null")
+    classes = near_classes(known, id_col="key", text_col="text", **params).select("key", "component_id", (F.col("n_shingles") == 0).alias("empty"))
+    # A text without words is like nothing but itself under its id.
+    group = F.when(F.col("empty"), F.concat_ws(":", F.lit("id"), "id", F.md5(F.coalesce("text", F.lit(""))), F.col("text").isNull().cast("string"))).otherwise(F.concat(F.lit("class:"), F.col("component_id").cast("string")))
+    first = known.join(classes, "key").groupBy(group.alias("group")).agg(F.min(F.struct("id", F.md5(F.coalesce("text", F.lit(""))).alias("text"), "key")).alias("first"))
+    kept = first.select(F.col("first.key").alias("key")).union(given.where("id is null").select("key"))
+    return keyed.join(kept, "key", "left_semi").select("row.*")
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
     """Class of near documents of every document."""
     out = near_classes(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_shingles", "component_id", "n_links")
+    return out.select("doc_id", "n_shingles", "component_id")

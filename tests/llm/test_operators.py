@@ -158,7 +158,7 @@ def test_ngram_links(spark, monkeypatch, block):
         sets[i] = {tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))} if w else set()
     want = {a: sum(bool(a != b and sets[a] and sets[b]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for b in sets) for a in sets}
     assert len(set(want.values())) > 5
-    got = ngram_join.near_classes(docs(spark, given + [(None, "a b c d e")])).collect()
+    got = ngram_join.near_classes(docs(spark, given + [(None, "a b c d e")]), count_links=True).collect()
     assert len(got) == len(given) + 1 and all(r["n_links"] == want.get(r["doc_id"], 0) for r in got)
 
 
@@ -169,6 +169,51 @@ def test_one_row_of_each(spark):
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == sorted((str(i), str(t)) for i, t in ((1, text), (3, "q r s"), (3, "t u v"), (None, text), (None, text), (4, None)))
 
 
+def test_texts_of_one_id(spark):
+    """A text that shares its id with a copy of another document stays."""
+    a, b = "a b c d e f g h", "other words of a text like nothing else here"
+    got = ngram_join.one_of_each(docs(spark, [(1, a), (3, a), (3, b)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, a), (3, b)]
+
+
+def test_only_members_link(spark):
+    """Classes that meet in members only: a chain of texts, each like the next one alone."""
+    words, texts = [f"w{i}" for i in range(400)], []
+    for k in range(12):
+        texts.append(" ".join(words[8 * k : 8 * k + 100]))  # a step of 8: 88 words shared with the next, 80 with the one after it
+    order = np.random.default_rng(4).permutation(len(texts))
+    given = [(int(i), texts[k]) for i, k in enumerate(order)] + [(50 + i, texts[k]) for i, k in enumerate(order[:3])]
+    got = ngram_join.near_classes(docs(spark, given)).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
+def test_registered_ngram_join(spark):
+    """The registered query beside union-find over all shared shingles of the smallest table."""
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    sets, holders, shared = {}, collections.defaultdict(list), collections.Counter()
+    for i, t in rows:
+        w = re.findall("[^\\x20\\x09-\\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))} if w else set()
+        for s in sets[i]:
+            holders[s].append(i)
+    for of in holders.values():
+        shared.update((a, b) for a in of for b in of if a < b)
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for (a, b), n in shared.items():
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((root(a), root(b)))
+            label[y] = x
+    got = queries.QUERIES["op9_ngram_join"](spark, SF)
+    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == {i: (len(sets[i]), root(i)) for i in sets}
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.near_classes(docs(spark, [])).count() == 0
 
