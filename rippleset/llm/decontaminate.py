@@ -254,12 +254,15 @@ def _joined(text: str, spans: list[dict[str, int]]) -> tuple[list[dict[str, int]
 
 
 def without_phrases(df: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", **names: str) -> DataFrame:
-    """``df`` with the removal spans taken out of ``text_col``; rows without a hit stay as they are."""
-    found = find_phrases(df, benchmark, window, text_col, **names)
+    """``df`` with the removal spans taken out of ``text_col``; rows without a hit, and all other columns of any name, stay as they are."""
+    others = [c for c in df.columns if c != text_col]
+    packed = df.select(F.struct(F.lit(0).alias("_"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(others))).alias("row"), F.col(text_col).cast("string").alias("given"))
+    found = find_phrases(packed, benchmark, window, "given", **names)
     start = F.concat(F.array(F.lit(0).cast("long")), F.transform("hit_spans", lambda s: s["end"]))
-    end = F.concat(F.transform("hit_spans", lambda s: s["start"]), F.array(F.length(text_col).cast("long")))
-    kept = F.transform(F.arrays_zip(start.alias("a"), end.alias("b")), lambda s: F.substring(F.col(text_col), (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int")))
-    return found.withColumn(text_col, F.when(F.col("n_hit") > 0, F.array_join(kept, "")).otherwise(F.col(text_col))).select(*df.columns)
+    end = F.concat(F.transform("hit_spans", lambda s: s["start"]), F.array(F.length("given").cast("long")))
+    kept = F.transform(F.arrays_zip(start.alias("a"), end.alias("b")), lambda s: F.substring(F.col("given"), (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int")))
+    text = F.when(F.col("n_hit") > 0, F.array_join(kept, "")).otherwise(F.col("given"))
+    return found.select(*(text.alias(c) if c == text_col else F.col(f"row.c{others.index(c)}").alias(c) for c in df.columns))
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rippleset.llm.common import table
+from rippleset.llm.common import table, written
 
 # --- Fixed values: the patterns' forms and their least lengths ---
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -87,14 +87,25 @@ def log_ratios(random: DataFrame, ordinary: DataFrame) -> list[float]:
     return [a - b for first, second in zip(*logs, strict=True) for a, b in zip(first, second, strict=True)]
 
 
-def train(found: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> list[float]:
-    """Transition log ratios from a bounded sample of texts with, and of texts without, pattern matches (``base_spans`` rows)."""
-    draw = F.xxhash64("_text")
-    marked = found.where("size(_base) > 0").orderBy(draw, "_text").limit(sample_texts)
+def train(df: DataFrame, text_col: str = "text", sample_texts: int = SAMPLE_TEXTS) -> list[float]:
+    """Transition log ratios from a bounded sample of texts with, and of texts without, pattern matches.
+
+    Texts are drawn by their hash: a bound from the number of texts lets about twice the sample pass, so tasks give out few of them.
+    """
+    texts = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    draws = written(base_spans(texts, "_text").select(F.xxhash64("_text").alias("draw"), (F.size("_base") > 0).alias("marked")), "secret-draws")
+    counts = {r["marked"]: r["n"] for r in draws.groupBy("marked").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def drawn(marked: bool) -> DataFrame:
+        share = min(1.0, 2 * sample_texts / max(1, counts.get(marked, 0)))
+        bound = -(2**63) + int(share * (2**64 - 1))
+        ids = draws.where((F.col("marked") == marked) & (F.col("draw") <= bound)).select("draw").distinct().orderBy("draw").limit(sample_texts)
+        chosen = texts.withColumn("draw", F.xxhash64("_text")).join(F.broadcast(ids), "draw", "left_semi").dropDuplicates(["draw"])
+        return base_spans(chosen, "_text").where((F.size("_base") > 0) == marked)
+
     values = F.transform("_base", lambda s: F.substring(F.col("_text"), s["start"] + 1, s["end"] - s["start"]))
-    random = marked.select(F.explode(values).alias("v")).select(F.regexp_extract("v", r"([A-Za-z0-9+/_.=-]+)$", 1).alias("s"))
-    plain = found.where("size(_base) = 0").orderBy(draw, "_text").limit(sample_texts)
-    ordinary = plain.select(F.explode(F.regexp_extract_all("_text", F.lit(WORDS), F.lit(0))).alias("s"))
+    random = drawn(True).select(F.explode(values).alias("v")).select(F.regexp_extract("v", r"([A-Za-z0-9+/_.=-]+)$", 1).alias("s"))
+    ordinary = drawn(False).select(F.explode(F.regexp_extract_all("_text", F.lit(WORDS), F.lit(0))).alias("s"))
     return log_ratios(random, ordinary)
 
 
@@ -106,9 +117,12 @@ def _log_ratio(token: Column, weights: Column) -> Column:
 
 
 def scan(df: DataFrame, text_col: str = "text", sample_texts: int = SAMPLE_TEXTS, least_sum: float = LEAST_SUM, least_mean: float = LEAST_MEAN) -> DataFrame:
-    """``df`` with ``spans array<struct<kind,start,end>>`` (numbers of ``KINDS``), by start and kind."""
+    """``df`` with ``spans array<struct<kind,start,end>>`` (numbers of ``KINDS``), by start and kind; a column of that name is replaced.
+
+    Columns ``_text`` and ``_base`` are used inside and must not be given; ``redact`` takes any.
+    """
     found = base_spans(df, text_col)
-    model = train(found, sample_texts)
+    model = train(df, text_col, sample_texts)
     weights = F.from_json(F.lit(json.dumps([round(x, 4) for x in model])), "array<double>")
     tokens = _places(F.col("_text"), TOKEN, 3)
 
@@ -128,9 +142,11 @@ def listed(spans: Column) -> Column:
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **params) -> DataFrame:
-    """``df`` with each secret's text replaced by ``mark``; overlapping spans become one."""
-    found = scan(df, text_col, **params)
-    text = F.col(text_col)
+    """``df`` with each secret's text replaced by ``mark``; overlapping spans become one. All other columns, of any name, stay as they are."""
+    others = [c for c in df.columns if c != text_col]
+    packed = df.select(F.struct(F.lit(0).alias("_"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(others))).alias("row"), F.col(text_col).cast("string").alias("given"))
+    found = scan(packed, "given", **params)
+    text = F.col("given")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(acc: Column, s: Column) -> Column:
@@ -139,7 +155,8 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **para
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.when(fresh, F.concat(gap, F.lit(mark))).otherwise("")).alias("out"))
 
     clean = F.aggregate("spans", start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text)).select(*df.columns)
+    cleaned = F.when(F.size("spans") > 0, clean).otherwise(text)
+    return found.select(*(cleaned.alias(c) if c == text_col else F.col(f"row.c{others.index(c)}").alias(c) for c in df.columns))
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
