@@ -27,7 +27,8 @@ def _measured(docs: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that score under ``REJECTED_FROM``; labels are learnt from rows that are not held out."""
     model = fit(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
-    return score(docs, model, out="_score").where(F.col("_score") < REJECTED_FROM).select(*docs.columns)
+    mark = "_score" + "_" * max((len(c) for c in docs.columns), default=0)  # no column of the documents
+    return score(docs, model, out=mark).where(F.col(mark) < REJECTED_FROM).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens)]
 
-#: The learnt and the iterative stages have no SQL form; tests compare the stages with brute-force versions.
+#: The learnt and the iterative stages have no SQL form; tests compare what they are made of with brute force.
 ORACLE_SQL = None
 
 
