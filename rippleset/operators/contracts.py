@@ -82,11 +82,11 @@ def diff_contracts(before: DataFrame, after: DataFrame) -> DataFrame:
 def api_change_risk(changes: DataFrame, consumers: DataFrame, ai_risks: DataFrame | None = None, config: ScoringConfig | None = None) -> DataFrame:
     """``change_id, n_breaking, n_consumers, raw_score, score, level``: the points of a change's breaking endpoints and of their callers.
 
-    ``consumers`` holds ``path`` of every call; they are counted before the join. ``ai_risks`` holds ``change_id, n_risks``. The raw score
+    ``consumers`` holds ``path`` of every call, in any letter case; they are counted before the join. ``ai_risks`` holds ``change_id, n_risks``. The raw score
     has no bound and gives the level; ``score`` stops at 10.
     """
-    calls = consumers.groupBy(F.col("path").alias("endpoint")).agg(F.count(F.lit(1)).alias("n"))
-    broken = changes.join(calls, "endpoint", "left")
+    calls = consumers.groupBy(F.lower("path").alias("endpoint")).agg(F.count(F.lit(1)).alias("n"))
+    broken = changes.withColumn("endpoint", F.lower("endpoint")).join(calls, "endpoint", "left")
     is_broken = F.col("change_type") == "BREAKING"
     sums = broken.groupBy("change_id").agg(F.count_if(is_broken).alias("n_breaking"), F.sum(F.coalesce("n", F.lit(0).cast("long"))).alias("n_consumers"))
     sums = sums.join(ai_risks.select("change_id", "n_risks"), "change_id", "left") if ai_risks is not None else sums.withColumn("n_risks", F.lit(0))

@@ -124,11 +124,11 @@ def escalate(changes: DataFrame, diffs: DataFrame, before: DataFrame, consumers:
     New required parameters and moved paths count only where the change has no contract in ``before``; other responses always do. Only
     endpoints that stand in the diff are looked at, if any do. ``consumers`` (``path`` of calls) adds to the reason.
     """
-    called = consumers.select(F.col("path").alias("endpoint"), F.lit(True).alias("called")).distinct() if consumers is not None else None
+    called = consumers.select(F.lower("path").alias("_endpoint"), F.lit(True).alias("called")).distinct() if consumers is not None else None
     joined = changes.join(diff_signs(diffs), "change_id", "left").withColumn("present", F.coalesce(_stands(F.col("noted"), F.col("method"), F.col("endpoint")), F.lit(False)))
     joined = joined.withColumn("some", F.max("present").over(Window.partitionBy("change_id")))
     joined = joined.join(before.select("change_id", F.lit(True).alias("known")).distinct(), "change_id", "left")
-    joined = joined.join(called, "endpoint", "left") if called is not None else joined.withColumn("called", F.lit(False))
+    joined = joined.join(called, F.lower("endpoint") == F.col("_endpoint"), "left") if called is not None else joined.withColumn("called", F.lit(False))
     text, bare = F.lower("diff"), _bare(F.col("endpoint"))
     named = F.contains(text, F.lower("endpoint")) | F.contains(text, F.lower("method"))
     hits = F.filter("moved", lambda m: F.contains(bare, _bare(m["new_path"])) | F.contains(bare, _bare(m["old_path"])))

@@ -45,6 +45,8 @@ LITERAL = rf"""(?s)\x01(\d+)\x02("{{3}}|'{{3}}|["'])(\s*{_STATEMENT}(?:(?!\2).)*
 #: The six call forms, either quote; the path is group 2.
 CALL = r"""(?i)(?:fetch|(?:axios|fetch|http|requests)\.\w+|RestTemplate\.(?:get|post)For(?:Object|Entity)|@(?:Get|Post|Put|Delete|Patch)Mapping)\s*\((["'])(/(?:(?!\1).)*)\1"""
 QUERY_TABLE = r"""(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+(?:[`"\\]*\w+[`"\\]*\.)*[`"\\]*(\w+)"""
+#: Forms of a document store's operations.
+STORE_FORMS = r"create collection|drop collection|createindex|dropindex|db\."
 #: A FROM that names no table.
 NO_SOURCE = r"(?i)\b(?:EXTRACT|TRIM|SUBSTRING|OVERLAY|POSITION)\s*\([^()]*\)|\bIS\s+(?:NOT\s+)?DISTINCT\s+FROM\b"
 #: What an ADD names when it adds no column, and the kind of a constraint.
@@ -95,9 +97,13 @@ def classify(changes: DataFrame, statement: str = "statement") -> DataFrame:
     return typed.select(*changes.columns, "change_type", table.alias("table_name"), column.alias("column_name"), value.alias("new_value"), old.alias("old_value"), F.when(added, constraint).alias("constraint_kind"))
 
 
-def database_type(name: Column) -> Column:
-    """Document store by its name's prefix, else relational."""
-    return F.when(F.lower(name).like("mongodb%"), "mongodb").otherwise("postgresql")
+def database_type(name: Column, explicit: Column | None = None, statement: Column | None = None) -> Column:
+    """The type that is told, in small letters; else a document store by its name or by the form of a statement, else relational."""
+    store = F.contains(F.lower(name), F.lit("mongo"))
+    if statement is not None:
+        store = store | F.lower(statement).rlike(STORE_FORMS)
+    found = F.when(store, "mongodb").otherwise("postgresql")
+    return found if explicit is None else F.coalesce(F.nullif(F.lower(explicit), F.lit("")), found)
 
 
 def _statements(content: Column) -> Column:
@@ -153,9 +159,13 @@ def steps(value: Column, *bounds: tuple[int, str]) -> Column:
     return out.otherwise(D("0.0"))
 
 
-def ai_points(risks: Column) -> Column:
-    """Points of the number of risks that a reviewer named."""
-    return steps(risks, (3, "1.5"), (1, "1.0"), (0, "0.5"))
+def ai_points(risks: Column, concerns: Column | None = None, config: ScoringConfig | None = None) -> Column:
+    """Points of the number of risks that a reviewer named, and of regulatory concerns, at most 2."""
+    points = steps(risks, (3, "1.5"), (1, "1.0"), (0, "0.5"))
+    if concerns is None:
+        return points
+    none = F.lower(F.coalesce(concerns, F.lit(""))).isin("", *(config or ScoringConfig()).not_a_concern)
+    return F.least(points + F.when(none, D("0.0")).otherwise(D("0.5")), D("2.0"))
 
 
 def risk_level(score: Column, config: ScoringConfig | None = None) -> Column:
@@ -215,9 +225,9 @@ def contract_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def contract_score(changes: DataFrame, consumers: DataFrame) -> DataFrame:
-    """Score of each change set: points of its changes, raised by the number of consumers of changed paths, at most 10."""
+    """Score of each change set: points of its changes, raised by the number of consumers of changed paths (in any letter case), at most 10."""
     points = F.when(F.col("change") == "BREAKING", D("3.0")).when(F.col("change") == "MODIFIED", D("1.5")).otherwise(D("0.5"))
-    used = changes.join(consumers.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path", "left")
+    used = changes.withColumn("path", F.lower("path")).join(consumers.groupBy(F.lower("path").alias("path")).agg(F.count(F.lit(1)).alias("n")), "path", "left")
     sums = used.groupBy("change_set").agg(F.sum(points).alias("points"), F.sum(F.coalesce("n", F.lit(0))).alias("consumers"))
     factor = F.when(F.col("consumers") > 10, D("1.5")).when(F.col("consumers") > 5, D("1.3")).when(F.col("consumers") > 0, D("1.1")).otherwise(D("1.0"))
     return sums.select("change_set", "consumers", F.least(F.col("points") * factor, D(10)).cast("decimal(6,2)").alias("score"))

@@ -144,9 +144,9 @@ def customer_risk(txns: DataFrame, config: CustomerRiskConfig | None = None) ->
     return scored.withColumn("level", level)
 
 
-def risk_profiles(txns: DataFrame, alerts: DataFrame) -> DataFrame:
+def risk_profiles(txns: DataFrame, alerts: DataFrame, config: CustomerRiskConfig | None = None) -> DataFrame:
     """Customers' scores with their numbers of alerts."""
-    return customer_risk(txns).join(alerts_per_customer(alerts), "customer_id", "left").withColumn("alerts", F.coalesce("alerts", F.lit(0).cast("long")))
+    return customer_risk(txns, config).join(alerts_per_customer(alerts), "customer_id", "left").withColumn("alerts", F.coalesce("alerts", F.lit(0).cast("long")))
 
 
 def daily_fraud_report(txns: DataFrame, risks: DataFrame, high_risk: str | None = None, concerning: int | None = None, config: CustomerRiskConfig | None = None) -> DataFrame:

@@ -41,12 +41,23 @@ def _paths(back: bool) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+#: New edges beside the known ones: each turned round, each once more, and one to a node that nobody knows.
+NEW_EDGES = "SELECT dst AS src, 'REFER' AS rel_type, src AS dst FROM edges UNION ALL SELECT src, rel_type, dst FROM edges UNION ALL SELECT src, 'CALL', dst + 1000000000 FROM edges"
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = v.view(spark, sf_dir, v.EDGES)
+    new = spark.sql(NEW_EDGES.replace("edges", "{edges}"), edges=edges)
+    return graph.upsert_edges(edges, new, v.view(spark, sf_dir, "SELECT p_partkey AS node FROM {part}"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "matrix_dependencies": _dependencies,
     "matrix_statistics": lambda s, d: matrix.matrix_statistics(v.view(s, d, MATRICES), _dependencies(s, d)),
     "dependency_references": _references,
     "paths_forward": _paths(False),
     "paths_reverse": _paths(True),
+    "upsert_new_edges": _upserted,
     "nearest_paths": lambda s, d: graph.nearest_paths(_paths(False)(s, d), 10),
 }
 
@@ -75,5 +86,6 @@ ORACLES: dict[str, str] = {
         ('lib/c#.py', 'A#.java', 'CONTAIN', '', ''), ('lib/c#.py', 'A#.java', 'CREATE', '', '')) AS f(source_path, target, rel_type, lines, context)""",
     "paths_forward": _paths_sql("src", "dst"),
     "paths_reverse": _paths_sql("dst", "src"),
+    "upsert_new_edges": f"WITH edges AS ({_E}) SELECT DISTINCT * FROM ({NEW_EDGES}) WHERE src IN (SELECT p_partkey FROM part) AND dst IN (SELECT p_partkey FROM part)",
     "nearest_paths": f"SELECT *, row_number() OVER (PARTITION BY start ORDER BY distance, nodes, rel_types)::INT AS rank FROM ({_paths_sql('src', 'dst')}) QUALIFY rank <= 10",
 }

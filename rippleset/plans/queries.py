@@ -63,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fraud_alerts": _over(v.TRANSACTIONS, lambda d: tx.fraud_alerts(d, FRAUD)),
     "alerts_per_customer": _over(v.TRANSACTIONS, lambda d: tx.alerts_per_customer(tx.fraud_alerts(d, FRAUD))),
     "customer_risk": _over(v.TRANSACTIONS, lambda d: tx.customer_risk(d, RISK)),
+    "risk_profiles": _over(v.TRANSACTIONS, lambda d: tx.risk_profiles(d, tx.fraud_alerts(d, FRAUD), RISK)),
     "daily_fraud_report": _over(v.TRANSACTIONS, lambda d: tx.daily_fraud_report(d, tx.customer_risk(d, RISK), high_risk="0.45")),
     "fees": _over(v.PAYMENTS, tx.fees),
     "payment_decisions": _over(v.PAYMENTS, tx.payment_decisions),
@@ -213,6 +214,7 @@ ORACLES: dict[str, str] = {
     "fraud_alerts": _ALERTS,
     "alerts_per_customer": f"SELECT customer_id, count(*) AS alerts FROM ({_ALERTS}) GROUP BY 1",
     "customer_risk": _RISK,
+    "risk_profiles": f"SELECT customer_id, score, level, coalesce(alerts, 0) AS alerts FROM ({_RISK}) LEFT JOIN (SELECT customer_id, count(*) AS alerts FROM ({_ALERTS}) GROUP BY 1) USING (customer_id)",
     "daily_fraud_report": f"SELECT *, CASE WHEN high_risk > 10 THEN 'CONCERNING' ELSE 'ACCEPTABLE' END AS verdict FROM (SELECT ts::DATE AS day, count(*) AS n, sum((score > 0.45)::INT)::BIGINT AS high_risk, round(avg(score::DOUBLE), 6) AS mean_risk FROM ({_T}) JOIN ({_RISK}) USING (customer_id) GROUP BY 1)",
     "fees": _FEES,
     "payment_decisions": f"""SELECT payment_id, decision, (CASE WHEN decision = 'COMPLETED' THEN amount + fee END)::DECIMAL(18,2) AS total FROM (SELECT payment_id, amount, fee, CASE WHEN amount <= 0 THEN 'INVALID' WHEN blocked THEN 'BLOCKED' WHEN balance < amount AND NOT overdraft THEN 'INSUFFICIENT'

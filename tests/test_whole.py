@@ -153,3 +153,19 @@ def test_office_hours(spark):
     rows = [(1, 8 * 3600), (2, 8 * 3600 + 60), (3, 17 * 3600 - 1), (4, 17 * 3600)]
     payments = spark.createDataFrame([(i, "WIRE", Decimal(60000), False, s // 3600, s) for i, s in rows], "payment_id int, type string, amount decimal(18,2), premium boolean, hour int, second_of_day int")
     assert {r["payment_id"]: float(r["fee"]) for r in tx.fees(payments).collect()} == {1: 30.0, 2: 33.0, 3: 33.0, 4: 30.0}
+
+
+def test_database_types(spark):
+    rows = [("mongodb_bank", None, None), ("my_Mongo", None, "x"), ("bank", None, "db.t.createIndex({a: 1})"), ("bank", "PostgreSQL", "db.t.find()"), ("bank", "", "Drop Collection c"), ("bank", None, "ALTER TABLE t"), (None, None, None)]
+    df = spark.createDataFrame(rows, "name string, told string, statement string")
+    from pyspark.sql import functions as F
+
+    got = [r[0] for r in df.select(sc.database_type(F.col("name"), F.col("told"), F.col("statement"))).collect()]
+    assert got == ["mongodb", "mongodb", "mongodb", "postgresql", "mongodb", "postgresql", "postgresql"]
+
+
+def test_concerns(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(0, None), (0, "N/A"), (0, "privacy"), (4, "privacy"), (5, "none"), (2, "")], "n int, c string")
+    assert [float(r[0]) for r in df.select(sc.ai_points(F.col("n"), F.col("c"))).collect()] == [0.0, 0.0, 0.5, 2.0, 1.5, 1.0]
