@@ -98,7 +98,7 @@ def train(df: DataFrame, text_col: str = "text", sample_texts: int = SAMPLE_TEXT
 
     def drawn(marked: bool) -> DataFrame:
         share = min(1.0, 2 * sample_texts / max(1, counts.get(marked, 0)))
-        bound = -(2**63) + int(share * (2**64 - 1))
+        bound = min(2**63 - 1, -(2**63) + int(share * 2**64))
         ids = draws.where((F.col("marked") == marked) & (F.col("draw") <= bound)).select("draw").distinct().orderBy("draw").limit(sample_texts)
         chosen = texts.withColumn("draw", F.xxhash64("_text")).join(F.broadcast(ids), "draw", "left_semi").dropDuplicates(["draw"])
         return base_spans(chosen, "_text").where((F.size("_base") > 0) == marked)
