@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -106,6 +107,11 @@ def database_type(name: Column, explicit: Column | None = None, statement: Colum
     return found if explicit is None else F.coalesce(F.nullif(F.lower(explicit), F.lit("")), found)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _statements(content: Column) -> Column:
     """``line`` (where it begins) and ``query`` of every quoted statement, within a line or over several.
 
@@ -116,12 +122,12 @@ def _statements(content: Column) -> Column:
     mark = lambda s, i: F.regexp_replace(s, F.lit(OPENING), F.concat(F.lit("\x01"), (i + 1).cast("string"), F.lit("\x02$0")))
     marked = F.array_join(F.transform(F.split(clean, "\n"), mark), "\n")
 
-    def read(pattern: str) -> Column:
+    def read(text: Column, pattern: str) -> Column:
         one = lambda x: F.struct(F.regexp_extract(x, r"^\x01(\d+)", 1).cast("int").alias("line"), F.regexp_replace(F.regexp_extract(x, pattern, 3), r"\x01\d+\x02", "").alias("query"))
-        return F.transform(F.regexp_extract_all(marked, F.lit(pattern), F.lit(0)), one)
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), one)
 
-    several = F.filter(read(LITERAL), lambda x: F.contains(x["query"], F.lit("\n")))
-    return F.when(content.rlike(rf"""["']\s*{_STATEMENT}"""), F.concat(read(LINE_LITERAL), several))
+    several = lambda text: F.filter(read(text, LITERAL), lambda x: F.contains(x["query"], F.lit("\n")))
+    return F.when(content.rlike(rf"""["']\s*{_STATEMENT}"""), once(marked, lambda text: F.concat(read(text, LINE_LITERAL), several(text))))
 
 
 def usages(files: DataFrame) -> DataFrame:

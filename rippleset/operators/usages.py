@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rippleset.config import COLLECTION_STOP_WORDS, HEURISTIC_TABLES
 from rippleset.operators.ddl import split_top_level
-from rippleset.operators.schema_change import usages
+from rippleset.operators.schema_change import once, usages
 
 # --- Fixed values: forms of the lines ---
 ENTITY = (r"""@(?:Entity|Table)\s*\([^)]*name\s*=\s*["'](\w+)["']""", r"""@Table\s*\([^)]*name\s*=\s*["'](\w+)["']""", r"""__tablename__\s*=\s*["'](\w+)["']""")
@@ -83,33 +83,43 @@ def all_usages(files: DataFrame, hints: bool = True) -> DataFrame:
     return out.withColumn("table_name", F.lower("table_name"))
 
 
+def _named(query: Column) -> Column:
+    """``sources`` (table, alias) of a statement, and the columns ``named`` in it (owner: what qualifies it, name)."""
+    def read(bare: Column) -> Column:
+        groups = lambda k: F.regexp_extract_all(bare, F.lit(SOURCE), F.lit(k))
+        sources = F.transform(F.arrays_zip(groups(1).alias("table"), groups(2).alias("alias")), lambda x: F.struct(F.lower(x["table"]).alias("table"), F.lower(F.coalesce(x["alias"], F.lit(""))).alias("alias")))
+        items = F.transform(split_top_level(F.regexp_extract(bare, SELECTED, 1)), lambda s: F.regexp_replace(s, r"(?i)\s+AS\s+\w+\s*$|(?<=[\w)])\s+\w+\s*$", ""))
+        listed = F.flatten(F.transform(items, lambda s: F.regexp_extract_all(s, F.lit(NAMED), F.lit(1))))
+        compared = F.regexp_extract_all(F.regexp_extract(bare, CONDITION, 1), F.lit(COMPARED), F.lit(1))
+        assigned = F.regexp_extract_all(F.regexp_extract(bare, ASSIGNED, 1), F.lit(r"((?:\w+\.)?[A-Za-z_]\w*)\s*="), F.lit(1))
+        columns = F.filter(F.array_distinct(F.transform(F.concat(listed, compared, assigned), F.lower)), lambda c: ~c.isin(*NO_COLUMN))
+        parted = F.transform(columns, lambda c: F.struct(F.regexp_extract(c, r"^(\w+)\.", 1).alias("owner"), F.regexp_replace(c, r"^\w+\.", "").alias("name")))
+        return F.struct(sources.alias("sources"), parted.alias("named"))
+
+    return once(F.regexp_replace(F.regexp_replace(query, r"'[^']*'", " "), r"""[`"\\]""", ""), read)
+
+
+def _columns_of(table: Column, read: Column) -> Column:
+    """The columns in a statement (``_named``) that belong to a table."""
+    aliases = F.transform(F.filter(read["sources"], lambda s: s["table"] == table), lambda s: s["alias"])
+    mine = lambda known: F.filter(read["named"], lambda c: (c["owner"] == "") | (c["owner"] == table) | F.array_contains(known, c["owner"]))
+    return once(aliases, lambda known: F.array_distinct(F.transform(mine(known), lambda c: c["name"])))
+
+
 def query_columns(query: Column) -> Column:
     """``table_name, columns`` of every table in a statement: columns of its SELECT list, conditions and assignments.
 
     A qualified column belongs to the table of that name or alias, a bare one to every table. Strings, ``*``, functions and keywords are none.
     """
-    bare = F.regexp_replace(F.regexp_replace(query, r"'[^']*'", " "), r"""[`"\\]""", "")
-    groups = lambda k: F.regexp_extract_all(bare, F.lit(SOURCE), F.lit(k))
-    sources = F.transform(F.arrays_zip(groups(1).alias("table"), groups(2).alias("alias")), lambda x: F.struct(F.lower(x["table"]).alias("table"), F.lower(F.coalesce(x["alias"], F.lit(""))).alias("alias")))
-    items = F.transform(split_top_level(F.regexp_extract(bare, SELECTED, 1)), lambda s: F.regexp_replace(s, r"(?i)\s+AS\s+\w+\s*$|(?<=[\w)])\s+\w+\s*$", ""))
-    listed = F.flatten(F.transform(items, lambda s: F.regexp_extract_all(s, F.lit(NAMED), F.lit(1))))
-    compared = F.regexp_extract_all(F.regexp_extract(bare, CONDITION, 1), F.lit(COMPARED), F.lit(1))
-    assigned = F.regexp_extract_all(F.regexp_extract(bare, ASSIGNED, 1), F.lit(r"((?:\w+\.)?[A-Za-z_]\w*)\s*="), F.lit(1))
-    named = F.filter(F.array_distinct(F.transform(F.concat(listed, compared, assigned), F.lower)), lambda c: ~c.isin(*NO_COLUMN))
-    owner = lambda c: F.regexp_extract(c, r"^(\w+)\.", 1)
-
-    def of_table(table: Column) -> Column:
-        known = F.transform(F.filter(sources, lambda s: s["table"] == table), lambda s: s["alias"])
-        mine = F.filter(named, lambda c: (owner(c) == "") | (owner(c) == table) | F.array_contains(known, owner(c)))
-        return F.struct(table.alias("table_name"), F.array_distinct(F.transform(mine, lambda c: F.regexp_replace(c, r"^\w+\.", ""))).alias("columns"))
-
-    return F.transform(F.array_distinct(F.transform(sources, lambda s: s["table"])), of_table)
+    tables = lambda read: F.array_distinct(F.transform(read["sources"], lambda s: s["table"]))
+    return once(_named(query), lambda read: F.transform(tables(read), lambda table: F.struct(table.alias("table_name"), _columns_of(table, read).alias("columns"))))
 
 
 def column_usages(found: DataFrame) -> DataFrame:
     """``repo, path, line, table_name, columns`` of the statements that ``usages`` found, each statement once a table."""
-    own = F.filter(query_columns(F.col("query")), lambda x: x["table_name"] == F.col("table_name"))
-    return found.select("repo", "path", "line", "table_name", F.coalesce(F.get(own, F.lit(0))["columns"], F.expr("cast(array() as array<string>)")).alias("columns"))
+    is_source = lambda read: F.exists(read["sources"], lambda s: s["table"] == F.col("table_name"))
+    own = once(_named(F.col("query")), lambda read: F.when(is_source(read), _columns_of(F.col("table_name"), read)))
+    return found.select("repo", "path", "line", "table_name", F.coalesce(own, F.expr("cast(array() as array<string>)")).alias("columns"))
 
 
 def usages_of_column(found: DataFrame, column: Column) -> DataFrame:

@@ -22,7 +22,7 @@ FROM {part}
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.view(spark, sf_dir, USAGE_FILES)
+    return v.view(spark, sf_dir, USAGE_FILES, "part")
 
 
 def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,9 +82,21 @@ SELECT CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS request_id, l_orderkey
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
 
-def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """A view over an input folder's tables."""
+#: Keys by which a table's rows are dealt over tasks, and the rows that one task reads.
+KEYS = {"customer": ("c_custkey",), "part": ("p_partkey",), "orders": ("o_orderkey",), "lineitem": ("l_orderkey", "l_linenumber")}
+ROWS_PER_TASK = 50_000
+
+
+def view(spark: SparkSession, sf_dir: str, text: str, spread: str | None = None) -> DataFrame:
+    """A view over an input folder's tables.
+
+    ``spread`` names the table whose rows become texts that are parsed. Its narrow rows are dealt over tasks first, as many as the rows ask for:
+    a small file of few row groups is one task's scan, and would leave all parsing to that task.
+    """
     used = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES if "{" + name + "}" in text}
+    if spread is not None:
+        tasks = max(spark.sparkContext.defaultParallelism, -(-used[spread].count() // ROWS_PER_TASK))
+        used[spread] = used[spread].repartition(tasks, *KEYS[spread])
     return spark.sql(text, **used)
 
 
