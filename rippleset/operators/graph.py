@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from rippleset.config import DIRECT_TYPES
+from rippleset.streaming.storage import shared_folder
+
+#: Starts of a block at most, and marks of a start and a node (or edges followed) that a task holds at a time.
+BLOCK, MARKS = 4096, 4_000_000
 
 
 def dependency_counts(edges: DataFrame) -> DataFrame:
@@ -27,6 +38,73 @@ def reachable(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
     return reached.where("distance > 0")
 
 
+def _blocks(near: DataFrame) -> DataFrame:
+    """``near`` with the ``home`` block of every node: numbers by range, since near ones often share neighbours, others by hash; crowded ranges are parted by hash."""
+    number = isinstance(near.schema["node"].dataType, NumericType)
+    n, low, high = near.agg(F.count(F.lit(1)), *((F.min("node"), F.max("node")) if number else (F.lit(0), F.lit(0)))).first()
+    blocks = max(-(-n // BLOCK), min(2 * near.sparkSession.sparkContext.defaultParallelism, -(-n // 64)), 1)
+    part = F.floor((F.col("node") - F.lit(low)) / F.lit(max(1.0, float((high - low + 1) / blocks)))) if number and n else F.pmod(F.xxhash64("node"), F.lit(blocks))
+    placed = near.withColumn("_range", part.cast("long"))
+    parts = placed.groupBy("_range").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
+    return placed.join(parts, "_range").select("node", "dsts", F.concat_ws(":", "_range", F.pmod(F.xxhash64("node", F.lit(1)), "_parts")).alias("home"))
+
+
+def _counted(depth: int) -> Callable[[pa.Table], pa.Table]:
+    """Counts of a block: breadth-first search from some of its starts at a time, over the neighbours that came with it."""
+
+    def count(block: pa.Table) -> pa.Table:
+        node, dsts = block["node"].to_numpy(), block["dsts"].combine_chunks()
+        ids, place = np.unique(np.concatenate([node, dsts.flatten().to_numpy(zero_copy_only=False)]), return_inverse=True)
+        known, out, size = place[: len(node)], place[len(node) :], len(ids)
+        lengths = pc.list_value_length(dsts).to_numpy().astype(np.int64)
+        degree, first = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        degree[known], first[known] = lengths, np.cumsum(lengths) - lengths
+        starts = known[block["is_start"].to_numpy()]
+        found, some = np.zeros((len(starts), depth), np.int64), max(1, MARKS // size)
+        for low in range(0, len(starts), some):
+            at = starts[low : low + some]
+            row, many = np.arange(len(at)), len(at)
+            marks, order = np.zeros(many * size, bool), np.empty(many * size, np.int64)
+            marks[row * size + at] = True
+            for distance in range(depth):
+                ends, new = np.cumsum(degree[at]), []
+                cuts = np.unique([0, len(at), *np.searchsorted(ends, np.arange(MARKS, ends[-1] if len(at) else 0, MARKS), side="right")])
+                for a, b in pairwise(cuts):
+                    d = degree[at[a:b]]
+                    follow = np.arange(d.sum()) + np.repeat(first[at[a:b]] - (np.cumsum(d) - d), d)
+                    cell = np.repeat(row[a:b] * size, d) + out[follow]
+                    cell = cell[~marks[cell]]
+                    order[cell] = np.arange(len(cell))
+                    cell = cell[order[cell] == np.arange(len(cell))]  # one of each
+                    marks[cell] = True
+                    new.append(cell)
+                row, at = np.divmod(np.concatenate(new) if new else np.zeros(0, np.int64), size)
+                found[low : low + many, distance] = np.bincount(row, minlength=many)
+        out_ids, steps, nodes = np.repeat(ids[starts], depth), np.tile(np.arange(1, depth + 1, dtype=np.int32), len(starts)), found.ravel()
+        return pa.table({"start": pa.array(out_ids[nodes > 0], block.schema.field("node").type), "distance": steps[nodes > 0], "nodes": nodes[nodes > 0]})
+
+    return count
+
+
+def reach_counts(edges: DataFrame, depth: int = 2) -> DataFrame:
+    """``start, distance, nodes``: of every node with an edge out, how many nodes lie at each smallest distance within ``depth`` steps.
+
+    The same as counting ``reachable`` from all nodes, without its pairs, whose number grows with the degree to the power of the depth. Starts
+    come in blocks; the neighbours of a node travel once to each block that gets as far as it, and a block's pairs are marks in one task.
+    Edges without both ends are none. The neighbours of all nodes are written to shared storage first.
+    """
+    spark, folder = edges.sparkSession, shared_folder(edges.sparkSession, "neighbours")
+    kind = edges.schema["src"].dataType.simpleString()
+    near = edges.where("src is not null and dst is not null").groupBy(F.col("src").alias("node")).agg(F.collect_set("dst").alias("dsts"))
+    near.write.parquet(folder)
+    near = _blocks(spark.read.schema(near.schema).parquet(folder))
+    members = near.select(F.col("home").alias("block"), "node")
+    for _ in range(depth - 1):  # nodes without an edge out fall away: they lead nowhere
+        members = members.join(near, "node").select("block", F.explode(F.concat(F.array("node"), "dsts")).alias("node")).distinct()
+    local = members.join(near, "node").select("block", "node", "dsts", (F.col("block") == F.col("home")).alias("is_start"))
+    return local.groupBy("block").applyInArrow(_counted(depth), f"start {kind}, distance int, nodes bigint")
+
+
 def node_risk(found: DataFrame, direction: str) -> DataFrame:
     """Risk of reached nodes by distance: a nearest dependent is at high risk, a nearest dependency at medium."""
     first = "high" if direction == "reverse" else "medium"
