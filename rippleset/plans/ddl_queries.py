@@ -24,7 +24,7 @@ FROM {{customer}}
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ddl.table_definitions(v.view(spark, sf_dir, DDL_FILES))
+    return ddl.table_definitions(v.view(spark, sf_dir, DDL_FILES, "customer"))
 
 
 def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
