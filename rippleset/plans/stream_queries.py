@@ -52,8 +52,8 @@ def _fed(given: DataFrame, place: str, folder: str, columns: list[str], start: C
 def stream_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed changes of a stream of notifications, counted."""
     given, out, checkpoint = (shared_folder(spark, name) for name in ("notifications", "ddl-changes", "ddl-checkpoint"))
-    log = v.view(spark, sf_dir, STATEMENT_LOG)
-    _fed(v.view(spark, sf_dir, NOTIFICATIONS), "seq", given, ["value"], lambda: se.ddl_stream(se.payload_stream(spark, given), log, out, checkpoint))
+    log = v.view(spark, sf_dir, STATEMENT_LOG, "customer")
+    _fed(v.view(spark, sf_dir, NOTIFICATIONS, "orders"), "seq", given, ["value"], lambda: se.ddl_stream(se.payload_stream(spark, given), log, out, checkpoint))
     found = read_batches(spark, out, "statement string, change_type string, table_name string, column_name string, new_value string")
     return found.groupBy("statement", "change_type", "table_name", "column_name", "new_value").agg(F.count(F.lit(1)).alias("n"))
 

@@ -32,3 +32,23 @@ def test_statements_are_read_once(spark):
     columns = us.column_usages(found)
     assert plan(columns).count(us.COMPARED) == 1 and plan(files.select(us.query_columns(F.col("content")).alias("c"))).count(us.COMPARED) == 1
     assert sorted((r["table_name"], *sorted(r["columns"])) for r in columns.collect()) == [("t", "a", "b"), ("u", "a")]
+
+
+def test_whole_statements_are_dealt(spark):
+    """Notifications that look nothing up in the log don't meet in one task, and come out as they were."""
+    from rippleset.streaming import schema_events as se
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        none = "cast(null as string)"
+        events = spark.range(800).selectExpr("'ALTER TABLE' as tag", f"{none} as object_identity", f"{none} as schema", "concat('ALTER TABLE t', id, ' ADD COLUMN c INT') as sql", "concat('t', id) as table_name", f"{none} as operation", f"{none} as column_name", f"{none} as object_type")
+        log = spark.createDataFrame([("ALTER TABLE t1 DROP COLUMN x", 1, 1.0)], "query string, calls int, mean_ms double")
+        done = se.completed(events, log)
+        sizes = done.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert sum(sizes) == 800 and max(sizes) < 300
+        assert done.columns == [*events.columns, "statement"] and done.where("statement <> sql").isEmpty()
+    finally:
+        for k, x in kept.items():
+            spark.conf.set(k, x)
