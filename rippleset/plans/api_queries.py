@@ -41,26 +41,26 @@ PATHS_AFTER = "SELECT p_brand AS change_id, CASE p_size % 2 WHEN 0 THEN 'GET' EL
 
 
 def _diff_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diffs.diff_changes(v.view(spark, sf_dir, API_DIFFS), sc.call_sites(v.view(spark, sf_dir, v.CODE_FILES)))
+    return diffs.diff_changes(v.view(spark, sf_dir, API_DIFFS, "part"), sc.call_sites(v.view(spark, sf_dir, v.CODE_FILES, "lineitem")))
 
 
 def _api_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return endpoints.endpoints(v.view(spark, sf_dir, API_FILES)).withColumn("params", endpoints.shown(F.col("params")))
+    return endpoints.endpoints(v.view(spark, sf_dir, API_FILES, "part")).withColumn("params", endpoints.shown(F.col("params")))
 
 
 def _in_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = v.view(spark, sf_dir, API_DIFFS)
+    given = v.view(spark, sf_dir, API_DIFFS, "part")
     return diffs.endpoints_in_diff(given, diffs.contracts_of_side(diffs.diff_sides(given), "after"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "api_endpoints": _api_endpoints,
     "moved_endpoints": lambda s, d: contracts.moved_endpoints(v.view(s, d, PATHS_BEFORE), v.view(s, d, PATHS_AFTER)),
-    "diff_lines": lambda s, d: diffs.explode_diff(v.view(s, d, API_DIFFS)).groupBy("change_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")),
+    "diff_lines": lambda s, d: diffs.explode_diff(v.view(s, d, API_DIFFS, "part")).groupBy("change_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")),
     "endpoints_in_diff": _in_diff,
     "diff_changes": lambda s, d: _diff_changes(s, d).withColumn("node_risk", contracts.endpoint_node_risk(F.col("change_type"))),
-    "api_change_risk": lambda s, d: contracts.api_change_risk(_diff_changes(s, d), sc.call_sites(v.view(s, d, v.CODE_FILES))),
-    "api_routing": lambda s, d: v.view(s, d, v.CODE_FILES).groupBy(diffs.is_api_change(F.col("path"), F.col("content")).alias("is_api")).agg(F.count(F.lit(1)).alias("n")),
+    "api_change_risk": lambda s, d: contracts.api_change_risk(_diff_changes(s, d), sc.call_sites(v.view(s, d, v.CODE_FILES, "lineitem"))),
+    "api_routing": lambda s, d: v.view(s, d, v.CODE_FILES, "lineitem").groupBy(diffs.is_api_change(F.col("path"), F.col("content")).alias("is_api")).agg(F.count(F.lit(1)).alias("n")),
 }
 
 _PART = "p_partkey"
