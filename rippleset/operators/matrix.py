@@ -50,7 +50,7 @@ def _shows(line: Column, rel: Column, target: Column, python: Column) -> Column:
 
 def dependency_references(found: DataFrame, files: DataFrame, most: int = MOST, around: int = AROUND) -> DataFrame:
     """``repo, source_path, target, rel_type, lines, context`` of every dependency: the first lines that show it, and the text around each."""
-    wanted = found.select("repo", F.col("source_path").alias("path"), F.struct("target", "rel_type").alias("d")).distinct().groupBy("repo", "path").agg(F.collect_list("d").alias("wanted"))
+    wanted = found.select("repo", F.col("source_path").alias("path"), F.struct("target", "rel_type").alias("d")).groupBy("repo", "path").agg(F.collect_set("d").alias("wanted"))
     rows = wanted.join(files.select("repo", "path", F.split("content", "\n").alias("text")), ["repo", "path"], "left").select("repo", "path", "text", F.inline("wanted"))
     python, target = F.col("path").endswith(".py"), F.regexp_replace("target", r"\.(?:py|java)$", "")
     counted = F.transform("text", lambda s, i: F.struct((i + 1).alias("line"), F.trim(s).alias("text")))

@@ -24,11 +24,11 @@ UNION ALL SELECT 'part' || p_partkey, 'src/app/B' || p_partkey || '.java', 'clas
 
 
 def _dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix.dependencies(v.view(spark, sf_dir, MATRICES))
+    return matrix.dependencies(v.view(spark, sf_dir, MATRICES, "part"))
 
 
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matrix.dependency_references(_dependencies(spark, sf_dir), v.view(spark, sf_dir, MATRIX_FILES))
+    found = matrix.dependency_references(_dependencies(spark, sf_dir), v.view(spark, sf_dir, MATRIX_FILES, "part"))
     return found.withColumns({"lines": F.array_join(F.transform("lines", lambda n: n.cast("string")), ","), "context": F.array_join("context", " | ")})
 
 
@@ -53,7 +53,7 @@ def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "matrix_dependencies": _dependencies,
-    "matrix_statistics": lambda s, d: matrix.matrix_statistics(v.view(s, d, MATRICES), _dependencies(s, d)),
+    "matrix_statistics": lambda s, d: matrix.matrix_statistics(v.view(s, d, MATRICES, "part"), _dependencies(s, d)),
     "dependency_references": _references,
     "paths_forward": _paths(False),
     "paths_reverse": _paths(True),
