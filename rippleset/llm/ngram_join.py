@@ -7,8 +7,13 @@ that orders the rest. The first order makes the candidates, the others are inter
 A list of documents that share a prefix token is not expanded into pairs. Every list names a leader; its members are verified against
 it, which joins a group of near copies by a star. Then stars' centres (hubs) of one list are compared where their classes differ, and
 block by block the members of two stars whose classes still differ, where the triangle inequality of the Jaccard distance leaves a link
-possible. So every link between classes is found, and none is looked for within one. Counting all links (``count_links``) also
-compares the members within each star; documents with equal sets count one another by the size of their group.
+possible. That is how all links are counted (``count_links``), which also compares the members within each star; documents with equal
+sets count one another by the size of their group.
+
+The classes alone need no comparison within a class: only lists that hold several classes after the stars go on. The documents of
+longer lists are listed anew, by an order that counts all tokens of just these documents, so that what a copy changed comes first.
+A document stays in a list only if the tokens from there on could suffice for a link (a pair is met in the list of its first common
+token). The rest are verified against the list's document with the earliest place, and what is still of different classes pair by pair.
 
 Cases: a null or wordless text has an empty set and links with nothing. Fewer words than a shingle are one token. Equal sets are linked
 without verification. Rows of one id are one document; rows with a null id link with nothing and get a null class.
@@ -32,6 +37,8 @@ from rippleset.llm.common import slices, table, written
 FREQUENT, MAX_FREQUENT = 2, 1 << 21
 #: Ids up to which a list of documents is broadcast to the texts instead of shuffling these.
 FEW = 100_000
+#: Rows of a list from which its documents are listed anew, by an order that counts all their tokens.
+CROWD = 16
 #: Counted are the tokens that can come into a prefix: this share of a set, smallest hashes first.
 COUNTED = 0.4
 #: Bytes of text that are hashed at once.
@@ -121,7 +128,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def frequent_shingles(docs: DataFrame, size: int, frequent: int = FREQUENT, most: int = MAX_FREQUENT) -> Orders:
+def frequent_shingles(docs: DataFrame, size: int, frequent: int = FREQUENT, most: int = MAX_FREQUENT, share: float = COUNTED) -> Orders:
     """Counts over all documents, each task adding up its own first; the ``most`` frequent ones at most are kept."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +141,7 @@ def frequent_shingles(docs: DataFrame, size: int, frequent: int = FREQUENT, most
         for batch in slices(batches):
             for text in batch.column(1).to_pylist():
                 tokens = shingles(text, size)
-                held.append(tokens[: math.ceil(COUNTED * len(tokens)) + 1])
+                held.append(tokens[: math.ceil(share * len(tokens)) + 1])
                 volume += len(held[-1])
             if volume > 1 << 20:
                 yield summed()
@@ -346,6 +353,76 @@ def _classed(df: DataFrame, classes: DataFrame, column: str) -> DataFrame:
     return df.join(classes.select(F.col("id").alias(column), "class"), column, "left").withColumn("class", F.coalesce("class", column))
 
 
+def _sets_of_documents(shared: DataFrame, again: DataFrame) -> DataFrame:
+    """``id``, ``n``, ``set_id`` of every document, copies included."""
+    every = shared.where("kind > 0").select("id", "n", F.col("leader").alias("set_id"))
+    every = every.union(again.join(every.withColumnRenamed("id", "first").dropDuplicates(["first"]), "first").select("id", "n", F.when(F.col("n") > 0, F.col("set_id")).otherwise(F.col("id"))))
+    return written(every, "sets-of-documents")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of lists that hold several classes, with the list's ``rows``, its ``least`` set size and the most ``texts`` of one id."""
+    of = rows.groupBy("token").agg(F.min("class").alias("c"), F.max("class").alias("d"), F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"), F.max("texts").alias("most_texts"))
+    return rows.join(of.where("c <> d").drop("c", "d"), "token")
+
+
+def placed_prefixes(docs: DataFrame, orders, size: int, percent: int) -> DataFrame:
+    """``token``, ``id``, ``place`` (from 0) of every document's prefix, rarest first."""
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = orders.value
+        for batch in slices(batches):
+            found = [np.empty(0, np.uint64)]
+            for text in batch.column(1).to_pylist():
+                tokens = shingles(text, size)
+                found.append(tokens[np.lexsort((tokens, known.count(tokens)))[: prefix_length(len(tokens), percent) if len(tokens) else 0]])
+            sizes = [len(x) for x in found[1:]]
+            rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            places = pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in [0, *sizes]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column(0).take(rows), places], ["token", "id", "place"])
+
+    return docs.select("id", "_text").mapInArrow(place, "token bigint, id bigint, place int")
+
+
+def _may_link(of: str, percent: int):
+    """Whether sizes and tokens that others hold too leave a link possible between a row and one with its columns named ``of``."""
+    both, total = F.least("most", f"most{of}"), F.col("n") + F.col(f"n{of}")
+    return (F.col("class") != F.col(f"class{of}")) & (100 * F.least("n", f"n{of}") >= percent * F.greatest("n", f"n{of}")) & (100 * both >= percent * (total - both))
+
+
+def open_lists(docs: DataFrame, rows: DataFrame, size: int, percent: int, most: int = MAX_FREQUENT, few: int = FEW) -> DataFrame:
+    """Rows of lists (``token``, ``id``, ``class``, ``n``, ``texts``) that may link across classes, with the ``most`` tokens to share and a ``centre``.
+
+    Lists under ``CROWD`` rows stay as they are. Ids with several texts have no bound. The centre is the row with the earliest place.
+    """
+    mixed = written(_mixed(rows).drop("least", "most_texts"), "mixed")
+    crowd = written(_listed(docs, mixed.where(F.col("rows") >= CROWD).select(F.col("id").alias("_need")).distinct(), "left_semi", few).select("id", "_text"), "crowd")
+    orders = docs.sparkSession.sparkContext.broadcast(frequent_shingles(crowd, size, 2, most, 1.0))  # bounded by ``most``
+    known = mixed.select("id", "class", "n", "texts").distinct()
+    bound = F.col("n") - F.when(F.col("texts") == 1, F.col("place")).otherwise(0)
+    again = placed_prefixes(crowd, orders, size, percent).join(known, "id").select("token", "id", "class", "n", "texts", bound.alias("most"))
+    rows = mixed.where(F.col("rows") < CROWD).select("token", "id", "class", "n", "texts", F.col("n").alias("most")).union(again)
+    partner = F.when(F.col("most_texts") == 1, F.greatest("least", F.ceil(percent * F.col("n") / 100))).otherwise(0)
+    held = _mixed(rows).where(100 * F.col("most") >= percent * (F.col("n") + partner - F.col("most"))).drop("rows", "least", "most_texts")
+    held = written(held, "held-lists")
+    centre = held.groupBy("token").agg(F.min(F.struct(1 - F.col("most") / F.col("n"), "id", "class", "n", "most")).alias("centre"))
+    return written(_mixed(held).drop("rows", "least", "most_texts").join(centre, "token"), "open-lists")
+
+
+def centre_pairs(held: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of a list's centre and its rows of other classes."""
+    pairs = held.select("id", "class", "n", "most", F.col("centre.id").alias("id2"), F.col("centre.class").alias("class2"), F.col("centre.n").alias("n2"), F.col("centre.most").alias("most2"))
+    return pairs.where(_may_link("2", percent)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def across_classes(held: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of other rows of a list that are still of different classes."""
+    rows = _classed(held.where(F.col("id") != F.col("centre.id")).drop("class", "centre"), classes, "id")
+    rows = written(_mixed(rows).select("token", "id", "class", "n", "most"), "apart")
+    other = rows.select("token", *(F.col(x).alias(f"{x}2") for x in ("id", "class", "n", "most")))
+    return rows.join(other, "token").where((F.col("id") < F.col("id2")) & _may_link("2", percent)).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
+
 def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int = 3, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, most: int = MAX_FREQUENT, few: int = FEW, count_links: bool = False) -> DataFrame:
     """``id_col`` (long), ``n_shingles`` and ``component_id`` of every row; with ``count_links`` also ``n_links``, the other documents at ``percent`` or more.
 
@@ -362,7 +439,7 @@ def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int
 
     orders = spark.sparkContext.broadcast(frequent_shingles(docs, size, frequent, most))  # bounded by ``most``
     shared = shared_prefixes(docs, orders, size, percent)
-    sizes = shared.where("kind = 1").groupBy("id").agg(F.max("n").alias("n"))
+    sizes = shared.where("kind = 1").groupBy("id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("texts"))
     moved = shared.where("kind = 1 and id <> leader").select("id", F.col("leader").alias("set_id")).distinct()
 
     # Lists of the sets' first documents: copies stand aside.
@@ -372,36 +449,31 @@ def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int
     stars = lists.where("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"), "leader").distinct()
     first = verified(docs, sizes, stars.select("a", "b").distinct(), orders, size, percent, n_orders, few)
     links = first.where("linked").select("a", "b")
-    classes = components(links)
+    every = _sets_of_documents(shared, again)
+    if not count_links:
+        held = open_lists(docs, _classed(lists.select("token", "id"), components(links), "id").join(sizes, "id"), size, percent, most, few)
+        seen = first.select("a", "b")
+        second = verified(docs, sizes, centre_pairs(held, percent).join(seen, ["a", "b"], "left_anti"), orders, size, percent, n_orders, few)
+        links, seen = links.union(second.where("linked").select("a", "b")), seen.union(second.select("a", "b"))
+        third = verified(docs, sizes, across_classes(held, components(links), percent).join(seen, ["a", "b"], "left_anti"), orders, size, percent, n_orders, few)
+        classes = components(links.union(third.where("linked").select("a", "b")))
+        out = every.join(classes.withColumnRenamed("id", "set_id"), "set_id", "left")
+        return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("class", "set_id").alias("component_id"))
 
     # Each set's hub: the smallest leader that it links with, or itself.
     to_hub = first.where("linked").join(stars, ["a", "b"]).select(F.when(F.col("leader") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("id"), "leader", "distance")
     hubs = to_hub.groupBy("id").agg(F.min(F.struct("leader", "distance")).alias("h")).select("id", F.col("h.leader").alias("hub"), F.col("h.distance").alias("away"))
     placed = written(lists.select("token", "id").join(hubs, "id", "left").select("token", "id", F.coalesce("hub", "id").alias("hub"), F.coalesce("away", F.lit(0.0)).alias("away")), "placed")
 
-    # Between hubs that share a list. For the classes alone only hubs of different classes count; these are met class by class, so
-    # that a list of one class, however long, makes no pair.
+    # Between hubs that share a list.
     centres = placed.select("token", "hub").distinct()
-    if count_links:
-        between = centres.join(centres.select("token", F.col("hub").alias("hub2")), "token").where("hub < hub2").select(F.col("hub").alias("a"), F.col("hub2").alias("b")).distinct()
-    else:
-        centres = written(_classed(centres, classes, "hub"), "centres")
-        mixed = centres.groupBy("token").agg(F.min("class").alias("c"), F.max("class").alias("d")).where("c <> d").select("token")
-        held = written(centres.join(mixed, "token", "left_semi"), "mixed")
-        of = held.select("token", "class").distinct()
-        met = of.join(of.select("token", F.col("class").alias("class2")), "token").where("class < class2")
-        pairs = met.join(held, ["token", "class"]).join(held.select("token", F.col("class").alias("class2"), F.col("hub").alias("hub2")), ["token", "class2"])
-        between = pairs.select(F.least("hub", "hub2").alias("a"), F.greatest("hub", "hub2").alias("b")).distinct()
+    between = centres.join(centres.select("token", F.col("hub").alias("hub2")), "token").where("hub < hub2").select(F.col("hub").alias("a"), F.col("hub2").alias("b")).distinct()
     between = written(between, "hub-pairs")
     fresh = written(between.join(first.select("a", "b"), ["a", "b"], "left_anti"), "fresh-pairs")
     second = verified(docs, sizes, fresh, orders, size, percent, n_orders, few)
     links = links.union(second.where("linked").select("a", "b"))
     classes = components(links)
 
-    # Documents of each set.
-    every = shared.where("kind > 0").select("id", "n", F.col("leader").alias("set_id"))
-    every = every.union(again.join(every.withColumnRenamed("id", "first").dropDuplicates(["first"]), "first").select("id", "n", F.when(F.col("n") > 0, F.col("set_id")).otherwise(F.col("id"))))
-    every = written(every, "sets-of-documents")
     copies = every.where("n > 0").select("set_id", "id").distinct().groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"))
 
     # Between members of one star and of two stars, where a link is possible.
@@ -415,18 +487,11 @@ def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int
     alone = F.col("radius_a") + F.col("radius_b") == 0  # two stars of one set each: verified already
     least = 1 - percent / 100 + 1e-9
     across = reach.where(~alone & (F.col("distance") - F.col("radius_a") - F.col("radius_b") <= least)).select("a", "b", "blocks_a", "blocks_b")
-    if count_links:
-        work = across.union(star.where("rows > 1").select("hub", "hub", "blocks", "blocks"))
-    else:  # what the hubs' own links have joined by now needs no further comparison
-        apart = _classed(_classed(across, classes, "a").withColumnRenamed("class", "of_a"), classes, "b").where("of_a <> class")
-        work = apart.select("a", "b", "blocks_a", "blocks_b")
+    work = across.union(star.where("rows > 1").select("hub", "hub", "blocks", "blocks"))
     tally = link_tally(docs, members.join(star.select("hub", "blocks"), "hub"), work, size, percent, few)
 
     links = links.union(tally.where("n is null").select("a", "b"))
     classes = components(links)
-    if not count_links:
-        out = every.join(classes.withColumnRenamed("id", "set_id"), "set_id", "left")
-        return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("class", "set_id").alias("component_id"))
     sure = reach.where(alone & F.col("linked")).select("a", "b")
     sure = sure.union(sure.select("b", "a")).toDF("id", "set_id").join(copies, "set_id").select("id", F.col("copies").alias("n"))
     found = tally.where("n is not null").select(F.col("a").alias("id"), "n").union(sure).groupBy("id").agg(F.sum("n").alias("found"))

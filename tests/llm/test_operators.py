@@ -334,3 +334,35 @@ def test_word_hashes(monkeypatch):
     assert whole[0] == whole[1] and not len(nj.word_hashes(b" \t ")) and not len(nj.word_hashes(b""))
     monkeypatch.setattr(nj, "BLOCK", 5)
     assert (nj.word_hashes(text.encode()) == whole).all()
+
+
+def test_ngram_crowd(spark, monkeypatch):
+    """A group of near copies, a third of them too far from all others: the same classes as brute force, from few pairs."""
+    rng = np.random.default_rng(12)
+    base = [f"b{x}" for x in range(150)]
+    texts = []
+    for k in range(200):
+        near = list(base)
+        for at in rng.integers(0, 150, int(rng.choice([0, 1, 2, 3, 6, 8]))):
+            near[at] = f"e{rng.integers(0, 9)}"
+        texts.append(" ".join(near[: 150 - k % 3]))
+    given = list(enumerate(texts)) + [(200, texts[9]), (201, texts[11] + " end of it"), (201, "other words of one id that stand here")]
+    sets = {i: {tuple(w[p : p + 5]) for p in range(len(w) - 4)} for i, t in given[:201] for w in [t.split()]}
+    label = {i: i for i in sets}
+    while True:
+        best = {a: min(label[b] for b in sets if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])) for a in sets}
+        if best == label:
+            break
+        label = best
+    assert 20 < len(set(label.values())) < 150
+    asked, verified = [], ngram_join.verified
+
+    def counted(docs, sizes, pairs, *rest):
+        out = verified(docs, sizes, pairs, *rest)
+        asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    got = ngram_join.near_classes(docs(spark, given)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] != 201} == label
+    assert sum(asked) < 3000 and len(asked) == 3  # of 19,900 pairs
