@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleset.llm.common import slices, table, written
+from rippleset.llm.common import in_small_batches, slices, table, written
 
 #: Different texts that make a shingle frequent, and the most frequent shingles that are known to all tasks (12 bytes each).
 FREQUENT, MAX_FREQUENT = 2, 1 << 21
@@ -423,6 +423,7 @@ def across_classes(held: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return rows.join(other, "token").where((F.col("id") < F.col("id2")) & _may_link("2", percent)).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
+@in_small_batches
 def near_classes(df: DataFrame, size: int = 5, percent: int = 75, n_orders: int = 3, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, most: int = MAX_FREQUENT, few: int = FEW, count_links: bool = False) -> DataFrame:
     """``id_col`` (long), ``n_shingles`` and ``component_id`` of every row; with ``count_links`` also ``n_links``, the other documents at ``percent`` or more.
 

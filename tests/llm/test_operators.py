@@ -366,3 +366,11 @@ def test_ngram_crowd(spark, monkeypatch):
     got = ngram_join.near_classes(docs(spark, given)).collect()
     assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] != 201} == label
     assert sum(asked) < 3000 and len(asked) == 3  # of 19,900 pairs
+
+
+def test_ngram_batches(spark, monkeypatch):
+    """Python gets no more than a few hundred rows at once, and the session's own setting is back afterwards."""
+    key, seen, before = "spark.sql.execution.arrow.maxRecordsPerBatch", [], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(ngram_join, "shared_prefixes", lambda *args, of=ngram_join.shared_prefixes: seen.append(spark.conf.get(key)) or of(*args))
+    assert ngram_join.near_classes(docs(spark, [(1, "a b c d e")])).count() == 1
+    assert seen == ["256"] and spark.conf.get(key) == before
