@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import pairwise
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType
 
 from rippleset.config import DIRECT_TYPES
 from rippleset.streaming.storage import shared_folder
 
-#: Starts of a block at most, and marks of a start and a node (or edges followed) that a task holds at a time.
+#: Starts of a block at most, and cells of a start and a node (or edges followed) that a task holds at a time.
 BLOCK, MARKS = 4096, 4_000_000
 
 
@@ -38,71 +40,198 @@ def reachable(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
     return reached.where("distance > 0")
 
 
-def _blocks(near: DataFrame) -> DataFrame:
-    """``near`` with the ``home`` block of every node: numbers by range, since near ones often share neighbours, others by hash; crowded ranges are parted by hash."""
-    number = isinstance(near.schema["node"].dataType, NumericType)
-    n, low, high = near.agg(F.count(F.lit(1)), *((F.min("node"), F.max("node")) if number else (F.lit(0), F.lit(0)))).first()
-    blocks = max(-(-n // BLOCK), min(2 * near.sparkSession.sparkContext.defaultParallelism, -(-n // 64)), 1)
-    part = F.floor((F.col("node") - F.lit(low)) / F.lit(max(1.0, float((high - low + 1) / blocks)))) if number and n else F.pmod(F.xxhash64("node"), F.lit(blocks))
-    placed = near.withColumn("_range", part.cast("long"))
-    parts = placed.groupBy("_range").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
-    return placed.join(parts, "_range").select("node", "dsts", F.concat_ws(":", "_range", F.pmod(F.xxhash64("node", F.lit(1)), "_parts")).alias("home"))
-
-
-def _counted(depth: int) -> Callable[[pa.Table], pa.Table]:
-    """Counts of a block: breadth-first search from some of its starts at a time, over the neighbours that came with it."""
-
-    def count(block: pa.Table) -> pa.Table:
-        node, dsts = block["node"].to_numpy(), block["dsts"].combine_chunks()
-        ids, place = np.unique(np.concatenate([node, dsts.flatten().to_numpy(zero_copy_only=False)]), return_inverse=True)
-        known, out, size = place[: len(node)], place[len(node) :], len(ids)
-        lengths = pc.list_value_length(dsts).to_numpy().astype(np.int64)
-        degree, first = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        degree[known], first[known] = lengths, np.cumsum(lengths) - lengths
-        starts = known[block["is_start"].to_numpy()]
-        found, some = np.zeros((len(starts), depth), np.int64), max(1, MARKS // size)
-        for low in range(0, len(starts), some):
-            at = starts[low : low + some]
-            row, many = np.arange(len(at)), len(at)
-            marks, order = np.zeros(many * size, bool), np.empty(many * size, np.int64)
-            marks[row * size + at] = True
-            for distance in range(depth):
-                ends, new = np.cumsum(degree[at]), []
-                cuts = np.unique([0, len(at), *np.searchsorted(ends, np.arange(MARKS, ends[-1] if len(at) else 0, MARKS), side="right")])
-                for a, b in pairwise(cuts):
-                    d = degree[at[a:b]]
-                    follow = np.arange(d.sum()) + np.repeat(first[at[a:b]] - (np.cumsum(d) - d), d)
-                    cell = np.repeat(row[a:b] * size, d) + out[follow]
-                    cell = cell[~marks[cell]]
-                    order[cell] = np.arange(len(cell))
-                    cell = cell[order[cell] == np.arange(len(cell))]  # one of each
-                    marks[cell] = True
-                    new.append(cell)
-                row, at = np.divmod(np.concatenate(new) if new else np.zeros(0, np.int64), size)
-                found[low : low + many, distance] = np.bincount(row, minlength=many)
-        out_ids, steps, nodes = np.repeat(ids[starts], depth), np.tile(np.arange(1, depth + 1, dtype=np.int32), len(starts)), found.ravel()
-        return pa.table({"start": pa.array(out_ids[nodes > 0], block.schema.field("node").type), "distance": steps[nodes > 0], "nodes": nodes[nodes > 0]})
-
-    return count
-
-
-def reach_counts(edges: DataFrame, depth: int = 2) -> DataFrame:
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of what is run meanwhile are deleted when it ends, and don't lie on the disks beside those of the next run."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def _numbered(pairs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame | None, int]:
+    """``pairs`` with numbers for their nodes that leave room for a block's starts in 64 bits; the numbers' names, or the number that stands for 0."""
+    spark, low = pairs.sparkSession, 0
+    if all(isinstance(f.dataType, IntegralType) for f in pairs.schema):
+        low, high = pairs.agg(F.min(F.least("src", "dst")), F.max(F.greatest("src", "dst"))).first()
+        if low is None or (high - low).bit_length() + BLOCK.bit_length() < 63:
+            low = low or 0
+            return pairs.select(*((F.col(c).cast("long") - F.lit(low)).alias(c) for c in ("src", "dst"))), None, low
+    nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct().repartitionByRange("node").sortWithinPartitions("node")
+    nodes.select("node", F.monotonically_increasing_id().alias("id")).write.parquet(f"{folder}/names")
+    names = spark.read.parquet(f"{folder}/names")
+    for c in ("src", "dst"):
+        pairs = pairs.join(names.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id")), c)
+    return pairs.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")), names, 0
+
+
+def _packed(a: np.ndarray) -> tuple[int, bytes]:
+    """The least of some numbers, and how much more the others are, in as few bytes each as the largest needs."""
+    low = a.min()
+    return int(low), (a - low).astype(np.min_scalar_type(a.max() - low)).tobytes()
+
+
+def _unpacked(low: int, packed: memoryview, n: int) -> tuple[int, np.ndarray]:
+    return low, np.frombuffer(packed, f"u{len(packed) // n}")
+
+
+#: Neighbours of consecutive nodes: the first node may go on from the section before (``carried``).
+SECTION = "low bigint, high bigint, starts bigint, carried boolean, nodes binary, first binary, dst_low bigint, dsts binary"
+
+
+def _cut(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sections of ``most`` edges out of edges that come in order; those that come again are dropped."""
+
+    def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, before = [np.zeros((2, 0), np.int64)], None, None
+        for batch in chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            if batch is not None:
+                edges = np.stack([batch["src"].to_numpy(), batch["dst"].to_numpy()])
+                other = np.append(last is None or (edges[:, 0] != last).any(), (edges[:, 1:] != edges[:, :-1]).any(axis=0))
+                last = edges[:, -1]
+                held.append(edges[:, other])
+            n = sum(x.shape[1] for x in held)
+            if n < most and batch is not None:
+                continue
+            edges = np.concatenate(held, axis=1)
+            full = n - n % most if batch is not None else n
+            for at in range(0, full, most):
+                src, dst = edges[:, at : min(at + most, full)]
+                first = np.flatnonzero(np.append(True, src[1:] != src[:-1]))
+                nodes, carried = src[first], bool(src[0] == before)
+                before = src[-1]
+                low, packed = _packed(nodes)
+                dst_low, dsts = _packed(dst)
+                yield pa.RecordBatch.from_pylist([{"low": low, "high": int(before), "starts": len(nodes) - carried, "carried": carried, "nodes": packed, "first": np.append(first, len(src)).astype(np.uint32).tobytes(), "dst_low": dst_low, "dsts": dsts}], pa_section)
+            held = [edges[:, full:]]
+
+    pa_section = pa.schema([(c, {"bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[kind]) for c, kind in (x.split() for x in SECTION.split(", "))])
+    return sections
+
+
+def _opened(paths: list[str], most: int = 8) -> Callable[[int], tuple[int, np.ndarray, np.ndarray, int, np.ndarray]]:
+    """Reads a section from shared storage: lowest node, nodes above it, firsts of their neighbours, lowest neighbour, neighbours above it. Keeps the last few."""
+    kept = {}
+
+    def section(k: int) -> tuple[int, np.ndarray, np.ndarray, int, np.ndarray]:
+        if k in kept:
+            kept[k] = kept.pop(k)
+            return kept[k]
+        system, path = fs.FileSystem.from_uri(paths[k])
+        table = pq.read_table(path, filesystem=system)
+        row = {name: table[name][0] for name in table.column_names}
+        first = np.frombuffer(row["first"].as_buffer(), np.uint32).astype(np.int64)
+        kept[k] = *_unpacked(row["low"].as_py(), row["nodes"].as_buffer(), len(first) - 1), first, *_unpacked(row["dst_low"].as_py(), row["dsts"].as_buffer(), first[-1])
+        if len(kept) > most:
+            del kept[next(iter(kept))]
+        return kept[k]
+
+    return section
+
+
+def _once(cells: list[np.ndarray]) -> np.ndarray:
+    every = np.concatenate(cells)
+    every.sort()
+    return every[np.append(True, every[1:] != every[:-1])] if len(every) else every
+
+
+def _counted(paths: list[str], lows: np.ndarray, highs: np.ndarray, blocks: list[tuple[int, int, int]], bits: int, low: int, depth: int, marks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of blocks of starts: breadth-first search from some of them at a time, the neighbours of all nodes of a step read section by section.
+
+    A cell is a start's place and a node in one number. Starts whose cells are more than ``marks`` are searched in smaller groups; one start's
+    cells are held whole.
+    """
+
+    def followed(section: Callable, front: np.ndarray) -> Iterator[np.ndarray]:
+        """Ends of the edges out of the cells of a step, at most ``marks`` at a time."""
+        front = front[np.argsort(front & ((1 << bits) - 1), kind="stable")]
+        at = front & ((1 << bits) - 1)
+        begin, end = np.searchsorted(at, lows), np.searchsorted(at, highs, side="right")
+        for k in np.flatnonzero(begin < end):
+            lowest, nodes, first, dst_low, dsts = section(int(k))
+            here, wanted = front[begin[k] : end[k]], (at[begin[k] : end[k]] - lowest).astype(nodes.dtype)
+            place = np.searchsorted(nodes, wanted)  # none is above the last
+            known = nodes[place] == wanted
+            here, place = here[known] >> bits << bits, place[known]
+            degree = first[place + 1] - first[place]
+            ends = np.cumsum(degree)
+            for a, b in pairwise(np.unique([0, len(here), *np.searchsorted(ends, np.arange(marks, ends[-1] if len(ends) else 0, marks), side="right")])):
+                d = degree[a:b]
+                follow = np.arange(d.sum()) + np.repeat(first[place[a:b]] - (np.cumsum(d) - d), d)
+                yield np.repeat(here[a:b] + dst_low, d) + dsts[follow].astype(np.int64)
+
+    def counted(section: Callable, starts: np.ndarray) -> tuple[np.ndarray, int] | None:
+        """New nodes of each start and step, and all cells; none if they are too many for a group."""
+        rows = np.arange(len(starts) + 1) << bits
+        seen = front = rows[:-1] + starts
+        counts = np.zeros((len(starts), depth), np.int64)
+        for distance in range(depth):
+            every, raw = seen, []
+            for cells in followed(section, front):
+                raw.append(cells)
+                if sum(map(len, raw)) >= marks:
+                    every, raw = _once([every, *raw]), []
+                    if len(every) > marks and len(starts) > 1:
+                        return None
+            every = _once([every, *raw])
+            counts[:, distance] = np.diff(np.searchsorted(every, rows)) - np.diff(np.searchsorted(seen, rows))
+            if distance + 1 < depth:
+                front = np.setdiff1d(every, seen, assume_unique=True)
+            seen = every
+        return counts, len(seen)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        section, some = _opened(paths), 64
+        for batch in batches:
+            for k, a, b in (blocks[i] for i in batch["id"].to_pylist()):
+                lowest, nodes, *_ = section(k)
+                starts = lowest + nodes[a:b].astype(np.int64)
+                while len(starts):
+                    group = starts[:some]
+                    if (done := counted(section, group)) is None:
+                        some = max(1, len(group) // 2)
+                        continue
+                    starts, found = starts[len(group) :], done[0].ravel()
+                    some = max(1, len(group) * marks // (2 * done[1]))
+                    out, steps = np.repeat(group + low, depth), np.tile(np.arange(1, depth + 1, dtype=np.int32), len(group))
+                    yield pa.RecordBatch.from_arrays([pa.array(out[found > 0]), pa.array(steps[found > 0]), pa.array(found[found > 0])], ["start", "distance", "nodes"])
+
+    return search
+
+
+def reach_counts(edges: DataFrame | list[DataFrame], depth: int = 2) -> DataFrame:
     """``start, distance, nodes``: of every node with an edge out, how many nodes lie at each smallest distance within ``depth`` steps.
 
-    The same as counting ``reachable`` from all nodes, without its pairs, whose number grows with the degree to the power of the depth. Starts
-    come in blocks; the neighbours of a node travel once to each block that gets as far as it, and a block's pairs are marks in one task.
-    Edges without both ends are none. The neighbours of all nodes are written to shared storage first.
+    The same as counting ``reachable`` from all nodes, without its pairs, whose number grows with the degree to the power of the depth. The
+    neighbours of all nodes are written once to shared storage, in sections of nodes in order; tasks search from blocks of starts and read the
+    sections they come to. No neighbours are shuffled to the blocks, so the disks hold what the edges ask for, however far a block gets. Edges
+    without both ends are none. They may come in parts, which are run one after the other; an edge may be in several.
     """
-    spark, folder = edges.sparkSession, shared_folder(edges.sparkSession, "neighbours")
-    kind = edges.schema["src"].dataType.simpleString()
-    near = edges.where("src is not null and dst is not null").groupBy(F.col("src").alias("node")).agg(F.collect_set("dst").alias("dsts"))
-    near.write.parquet(folder)
-    near = _blocks(spark.read.schema(near.schema).parquet(folder))
-    members = near.select(F.col("home").alias("block"), "node")
-    for _ in range(depth - 1):  # nodes without an edge out fall away: they lead nowhere
-        members = members.join(near, "node").select("block", F.explode(F.concat(F.array("node"), "dsts")).alias("node")).distinct()
-    local = members.join(near, "node").select("block", "node", "dsts", (F.col("block") == F.col("home")).alias("is_start"))
-    return local.groupBy("block").applyInArrow(_counted(depth), f"start {kind}, distance int, nodes bigint")
+    parts = [edges] if isinstance(edges, DataFrame) else edges
+    spark, section = parts[0].sparkSession, max(1, MARKS // 4)
+    folder, kind = shared_folder(spark, "neighbours"), parts[0].schema["src"].dataType.simpleString()
+    with _shuffles_dropped(spark):
+        for part in parts:
+            part.where("src is not null and dst is not null").select("src", "dst").write.mode("append").parquet(f"{folder}/pairs")
+        pairs = spark.read.schema(parts[0].select("src", "dst").schema).parquet(f"{folder}/pairs")
+        tasks = max(1, -(-pairs.count() // section))
+        pairs, names, low = _numbered(pairs, folder)
+        placed = pairs.repartitionByRange(tasks, "src").sortWithinPartitions("src", "dst").mapInArrow(_cut(section), SECTION)
+        placed.write.options(**{"maxRecordsPerFile": 1, "compression": "none", "parquet.enable.dictionary": "false"}).parquet(f"{folder}/sections")
+        known = spark.read.schema(SECTION).parquet(f"{folder}/sections").select("low", "high", "starts", "carried", "_metadata.file_path").orderBy("low", "high").collect()
+    cores = spark.sparkContext.defaultParallelism
+    size = min(BLOCK, max(64, -(-sum(r["starts"] for r in known) // (4 * cores))))
+    blocks = [(k, a + r["carried"], min(a + size, r["starts"]) + r["carried"]) for k, r in enumerate(known) for a in range(0, r["starts"], size)]
+    lows, highs = (np.array([r[c] for r in known], np.int64) for c in ("low", "high"))
+    found = spark.range(0, len(blocks), 1, max(1, min(len(blocks), max(4 * cores, len(blocks) // 8)))).mapInArrow(_counted([r["file_path"] for r in known], lows, highs, blocks, 63 - BLOCK.bit_length(), low, depth, MARKS), "start bigint, distance int, nodes bigint")
+    if names is None:
+        return found.withColumn("start", F.col("start").cast(kind))
+    return found.join(names, found["start"] == names["id"]).select(F.col("node").cast(kind).alias("start"), "distance", "nodes")
 
 
 def node_risk(found: DataFrame, direction: str) -> DataFrame:

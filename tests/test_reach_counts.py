@@ -1,6 +1,7 @@
 """Counts of reachable nodes beside the pairs they stand for."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,3 +34,36 @@ def test_pairs_do_not_travel(spark):
     edges = layers.select(F.col("id").alias("src"), (F.col("to") + 300).alias("dst")).unionByName(layers.select((F.col("id") + 300).alias("src"), (F.col("to") + 600).alias("dst")))
     got = graph.reach_counts(edges, 2).groupBy("distance").agg(F.count(F.lit(1)).alias("starts"), F.min("nodes").alias("least"), F.max("nodes").alias("most")).collect()
     assert sorted(map(tuple, got)) == [(1, 600, 300, 300), (2, 300, 300, 300)]
+
+
+def _pairs(edges, depth):
+    found = graph.reachable(edges, edges.select(F.col("src").alias("node")).distinct(), depth)
+    return sorted(map(tuple, found.groupBy("start", "distance").count().collect()))
+
+
+def test_neighbours_do_not_travel(spark, monkeypatch):
+    """Blocks that get as far as nearly every node have no neighbours sent to them, and what was shuffled before is off the disks."""
+    rng = random.Random(7)
+    edges = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(2000)], "src bigint, dst bigint")
+    monkeypatch.setattr(graph, "BLOCK", 20)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = disk.getAllFiles().size()
+    counts = graph.reach_counts(edges, 3)
+    for _ in range(100):  # files are deleted in the background
+        if (left := disk.getAllFiles().size()) <= before:
+            break
+        time.sleep(0.1)
+    assert left <= before
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, counts.collect())) == _pairs(edges, 3)
+
+
+@pytest.mark.parametrize("marks", [graph.MARKS, 40])
+def test_far_ids_and_hubs(spark, monkeypatch, marks):
+    """Ids over all 64 bits, a node with more neighbours than a section holds, and edges that come in two parts, some in both."""
+    rng = random.Random(3)
+    ids = [-(2**63), 2**63 - 1, *(rng.randrange(-(2**62), 2**62) for _ in range(60))]
+    rows = [(ids[0], x) for x in ids] + [(rng.choice(ids), rng.choice(ids)) for _ in range(120)]
+    whole, first, second = (spark.createDataFrame(x, "src bigint, dst bigint") for x in (rows, rows[:110], rows[70:]))
+    monkeypatch.setattr(graph, "MARKS", marks)
+    assert sorted(map(tuple, graph.reach_counts([first, second], 3).collect())) == _pairs(whole, 3)
