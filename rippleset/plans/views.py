@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TRANSACTIONS = """
 SELECT event_id AS txn_id, user_id AS customer_id, CAST(ts AS TIMESTAMP) AS ts, CAST(value AS DECIMAL(18,2)) AS amount, event_type,
@@ -87,19 +88,38 @@ KEYS = {"customer": ("c_custkey",), "part": ("p_partkey",), "orders": ("o_orderk
 ROWS_PER_TASK = 50_000
 
 
+#: Rows of a table that a view in parts joins at a time, and its parts at most: each of them reads the table's columns again.
+ROWS_PER_PART, PARTS = 30_000_000, 8
+
+
+def _tables(spark: SparkSession, sf_dir: str, text: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES if "{" + name + "}" in text}
+
+
 def view(spark: SparkSession, sf_dir: str, text: str, spread: str | None = None) -> DataFrame:
     """A view over an input folder's tables.
 
     ``spread`` names the table whose rows become texts that are parsed. Its narrow rows are dealt over tasks first, as many as the rows ask for:
     a small file of few row groups is one task's scan, and would leave all parsing to that task.
     """
-    used = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES if "{" + name + "}" in text}
+    used = _tables(spark, sf_dir, text)
     if spread is not None:
         tasks = max(spark.sparkContext.defaultParallelism, -(-used[spread].count() // ROWS_PER_TASK))
         used[spread] = used[spread].repartition(tasks, *KEYS[spread])
     return spark.sql(text, **used)
 
 
+def parts(spark: SparkSession, sf_dir: str, text: str, table: str) -> list[DataFrame]:
+    """A view that joins rows of ``table`` by its first key alone, in parts by that key, so that one part's shuffles can go before the next.
+
+    Together they hold the view's rows; what is distinct in the view is distinct in each part.
+    """
+    used = _tables(spark, sf_dir, text)
+    n = max(1, min(PARTS, -(-used[table].count() // ROWS_PER_PART)))
+    part = F.pmod(F.xxhash64(KEYS[table][0]), F.lit(n))
+    return [spark.sql(text, **used | {table: used[table].where(part == k)}) for k in range(n)] if n > 1 else [spark.sql(text, **used)]
+
+
 def sql(text: str) -> str:
     """The same text over tables of these names."""
     return text.format(**{name: name for name in TABLES})

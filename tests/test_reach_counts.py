@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rippleset.operators import graph
+from rippleset.plans import views as v
 
 
 @pytest.mark.parametrize(("kind", "depth", "marks"), [("bigint", 3, graph.MARKS), ("bigint", 3, 50), ("string", 2, 1)])
@@ -67,3 +68,14 @@ def test_far_ids_and_hubs(spark, monkeypatch, marks):
     whole, first, second = (spark.createDataFrame(x, "src bigint, dst bigint") for x in (rows, rows[:110], rows[70:]))
     monkeypatch.setattr(graph, "MARKS", marks)
     assert sorted(map(tuple, graph.reach_counts([first, second], 3).collect())) == _pairs(whole, 3)
+
+
+def test_edges_in_parts(spark, monkeypatch):
+    """Parts by orders hold the edges of the whole view, null orders and parts included."""
+    lines = spark.createDataFrame([(None if k % 19 == 0 else k // 5, None if k % 23 == 0 else k * 7 % 40, k % 5 + 1) for k in range(300)], "l_orderkey bigint, l_partkey bigint, l_linenumber int")
+    monkeypatch.setattr(v, "_tables", lambda *_: {"lineitem": lines})
+    monkeypatch.setattr(v, "ROWS_PER_PART", 50)
+    parts = v.parts(spark, "", v.EDGES, "lineitem")
+    want = {tuple(r) for r in v.view(spark, "", v.EDGES).collect()}
+    got = [{tuple(r) for r in p.collect()} for p in parts]
+    assert len(parts) == 6 and all(got) and set().union(*got) == want
